@@ -14,8 +14,10 @@ from sieve.llm.bpe import bpe_decode, bpe_encode
 from sieve.llm.chat import format_pieces, read_back
 from sieve.llm.common import table
 from sieve.llm.exact_dedup import exact_dedup
+from sieve.llm.jaccard_join import jaccard_components
 from sieve.llm.mixing import mix_sources
 from sieve.llm.pii import KINDS, find_pii
+from sieve.llm.quality import score_quality
 from sieve.llm.url_filter import rules_frame, url_filter
 
 # The rules of the URL query, and the conversation that the chat query adds.
@@ -53,6 +55,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules_frame(spark, RULES))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
 
@@ -68,6 +74,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     out = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path), path)
@@ -85,7 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_pii": op7_pii,
+    "op8_quality": op8_quality,
     "op10_bpe": op10_bpe,
 }
 
