@@ -19,6 +19,7 @@ from sieve.llm.mixing import mix_sources
 from sieve.llm.pii import KINDS, find_pii
 from sieve.llm.quality import score_quality
 from sieve.llm.url_filter import rules_frame, url_filter
+from sieve.llm.vector_dedup import vector_dedup
 
 # The rules of the URL query, and the conversation that the chat query adds.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -78,6 +79,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     out = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path), path)
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
+    "op9_vector_dedup": op9_vector_dedup,
     "op10_bpe": op10_bpe,
 }
 
