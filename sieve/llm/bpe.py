@@ -249,3 +249,25 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     base = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     out = base.mapInArrow(_decode(path, [], chunk), f"id {base.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
+
+
+def bpe_append(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of its text and their decoded text as further columns (in place of columns so named)."""
+    ship(docs.sparkSession)
+    base = docs.drop(ids_col, decoded_col)
+    place = len(base.columns)
+    names = [f"c{k}" for k in range(place)]
+    laid = base.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(base.columns, names)), text_of(text_col).alias("t"))
+    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, base.schema.fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                ids = [c.encode(t.as_py()) for t in part.column(place)]
+                out = [*part.columns[:place], pa.array(ids, pa.list_(pa.int32())), pa.array(map(c.decode, ids), pa.string())]
+                yield pa.RecordBatch.from_arrays(out, [*names, "ids", "decoded"])
+
+    out = laid.mapInArrow(run, f"{fields}, ids array<int>, decoded string")
+    return out.toDF(*base.columns, ids_col, decoded_col)

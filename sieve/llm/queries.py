@@ -14,6 +14,7 @@ from sieve.llm.bpe import bpe_decode, bpe_encode
 from sieve.llm.chat import format_pieces, read_back
 from sieve.llm.common import table
 from sieve.llm.exact_dedup import exact_dedup
+from sieve.llm.html_extract import extract_main_text
 from sieve.llm.jaccard_join import jaccard_components
 from sieve.llm.mixing import mix_sources
 from sieve.llm.pii import KINDS, find_pii
@@ -56,6 +57,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules_frame(spark, RULES))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
+    "op5_html_extract": op5_html_extract,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
