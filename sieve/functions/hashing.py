@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # FNV-1a offsets and primes.
 FNV32_OFFSET, FNV32_PRIME = 2166136261, 16777619
@@ -52,7 +53,7 @@ def fnv64_all(values: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fnv64_udf(values: pd.Series) -> pd.Series:
     return pd.Series(fnv64_all(values.fillna("").tolist()))
 
@@ -60,7 +61,7 @@ def fnv64_udf(values: pd.Series) -> pd.Series:
 def blake2b_mod(buckets: int, reserve: int = 0):
     """A UDF: the 64-bit BLAKE2b of a string modulo ``buckets``, shifted past reserved ids."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def udf(values: pd.Series) -> pd.Series:
         digest = lambda v: int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little")
         return values.map(lambda v: digest(v) % buckets + reserve)

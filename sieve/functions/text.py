@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Token patterns.
 TOKEN = r"[\p{L}\p{Nd}][\p{L}\p{Nd}_\-.@]{1,48}"
@@ -50,11 +51,16 @@ def tokens(c: Column, pattern: str = TOKEN, most: int | None = None) -> Column:
 
 
 def bigrams(words: Column, most: int | None = None, joint: str = "_") -> Column:
-    """Neighbouring tokens, joined; none for fewer than two (sequence(1, 0) would count down)."""
-    n = F.size(words) - 1
+    """Neighbouring tokens, joined; none for fewer than two."""
+    # zip_with sees each side once; a lambda over places would evaluate ``words`` again for each of them.
+    n = F.greatest(F.size(words) - 1, F.lit(0))
     n = F.least(n, F.lit(most)) if most else n
-    pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.element_at(words, i), F.lit(joint), F.element_at(words, i + 1)))
-    return F.when(n >= 1, pairs).otherwise(F.array().cast("array<string>"))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(joint), b))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value evaluated once, however often its result is used inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def normalise_lines(c: Column) -> Column:
@@ -70,18 +76,18 @@ def strip_html(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)<[^>]+>", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(texts: pd.Series) -> pd.Series:
     """Character references decoded; Spark has no built-in for it."""
     return texts.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(texts: pd.Series) -> pd.Series:
     return texts.map(str.casefold, na_action="ignore")
 
@@ -108,13 +114,13 @@ def host_of(url: Column) -> Column:
     """The host of one URL: trailing punctuation off, www. read as http, lower case, no outer dots; errors give ''."""
     c = F.regexp_replace(url, r"[.,);\]>]+$", "")
     c = F.when(F.lower(c).startswith("www."), F.concat(F.lit("http://"), c)).otherwise(c)
-    return F.coalesce(F.trim(F.lit("."), F.lower(F.try_parse_url(c, F.lit("HOST")))), F.lit(""))
+    return F.coalesce(F.trim(F.lower(F.try_parse_url(c, F.lit("HOST"))), F.lit(".")), F.lit(""))
 
 
 def normalise_category(c: Column) -> Column:
     """Lower case, anything but letters and digits to _, outer _ off; blank gives 'none'."""
     safe = F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}]", "_")
-    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", "none").otherwise(F.trim(F.lit("_"), safe))
+    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", "none").otherwise(F.trim(safe, F.lit("_")))
 
 
 def normalise_option(c: Column) -> Column:

@@ -222,7 +222,9 @@ def token_ids(text: Column, vocabulary: int = 65_536, words: int = 1800, chars:
     w = X.tokens(text, X.TOKEN_PATTERNS["words2_48"], words)
     s = F.regexp_replace(F.lower(text), r"\s+", " ")
     last = F.least(F.length(s) - 4, F.lit(chars * stride))
-    grams = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(stride)), lambda i: F.substring(s, i, F.lit(5)))).otherwise(F.array().cast("array<string>"))
+    grams = F.when(last >= 1, X.bound(s, lambda v: F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(stride)), lambda i: F.substring(v, i, F.lit(5))))).otherwise(
+        F.array().cast("array<string>")
+    )
     every = F.concat(F.transform(w, lambda t: F.concat(F.lit("w:"), t)), F.transform(X.bigrams(w), lambda t: F.concat(F.lit("b:"), t)), F.transform(grams, lambda t: F.concat(F.lit("c:"), t)))
     return F.transform(every, lambda t: (F.pmod(F.xxhash64(t), F.lit(vocabulary - 1)) + 1).cast("int"))
 
@@ -241,9 +243,10 @@ def byte_window(raw: Column, most: int = 4096, head: int = 3072) -> Column:
     """The first and last bytes of a long message, as an array of byte + 1, padded by 0."""
     tail = most - head
     cut = F.when(F.length(raw) > most, F.concat(F.substring(raw, 1, head), F.substring(raw, -tail, tail))).otherwise(raw)
-    digits = F.hex(cut)
-    n = (F.length(digits) / 2).cast("int")
-    codes = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("int") + 1)).otherwise(F.array().cast("array<int>"))
+    n = F.length(cut).cast("int")
+    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    own = X.bound(F.hex(cut), lambda v: F.transform(places, lambda i: F.conv(F.substring(v, i * 2 - 1, F.lit(2)), 16, 10).cast("int") + 1))
+    codes = F.when(n > 0, own).otherwise(F.array().cast("array<int>"))
     return F.concat(codes, F.array_repeat(F.lit(0), F.lit(most) - n))
 
 

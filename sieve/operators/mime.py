@@ -15,6 +15,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieve.functions import text as X
 from sieve.schema import PARSED
@@ -207,7 +208,7 @@ def parse_udf(raws: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[f.name for f in PARSED.fields])
 
 
-@F.pandas_udf("document string, attachments int")
+@F.pandas_udf(T.StructType([T.StructField("document", T.StringType()), T.StructField("attachments", T.IntegerType())]))
 def document_udf(raws: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_stdlib(bytes(r) if r is not None else b"") for r in raws], columns=["document", "attachments"])
 
