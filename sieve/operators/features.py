@@ -98,7 +98,7 @@ def dot(features: DataFrame, weights: DataFrame, key: str, bias: float = 0.0) ->
 def top_contributions(features: DataFrame, weights: DataFrame, key: str, most: int = 8) -> DataFrame:
     """(key, explanations): the features with the largest contributions in absolute value, ties by label.
 
-    An aggregate that keeps the best few of each task before rows meet: no window over a message's features.
+    A message's features are bounded by the extractor's caps, and so is the list that is sorted here.
     """
     c = features.join(weights, "idx").withColumn("c", F.col("w") * F.col("value")).filter("c <> 0")
     best = c.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.abs("c")).alias("o"), F.col("label").alias("feature"), F.col("c").alias("contribution")))).alias("all"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from sieve.ship import ship
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -20,4 +22,6 @@ def session(app: str = "sieve", master: str | None = None, **conf: str) -> Spark
         builder = builder.master(master)
     for key, value in (DEFAULTS | conf).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
