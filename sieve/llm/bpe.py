@@ -23,13 +23,14 @@ import json
 import os
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import ship, text_of
+from sieve.llm.common import lean, ship, text_of
 
 WINDOW, LEAST, MOST, MASK_BITS = 32, 256, 8192, 11
 _gear = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -51,15 +52,11 @@ def byte_alphabet() -> dict[str, int]:
 class Codec:
     """Encodes and decodes with one vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, cache_bytes: int = 48 << 20):
+    def __init__(self, path: str, cache_bytes: int = 32 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         alphabet = byte_alphabet()
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -92,6 +89,16 @@ class Codec:
         self.cached, self.cache_bytes = 0, cache_bytes
         self.hits = self.misses = 0
 
+    @cached_property
+    def library(self):
+        """The library's own tokenizer, loaded where it is needed."""
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(self.path)
+        t.no_truncation()
+        t.no_padding()
+        return t
+
     def plain(self, text: str) -> list[int]:
         """The ids of a text, without reuse."""
         if self.fast is not None and len(text) < 1 << 20:
@@ -218,7 +225,7 @@ def _encode(path: str, chunk: int):
                     yield pa.RecordBatch.from_arrays([keys.slice(begun, k + 1 - begun), lists], ["id", "ids"])
                     ids, size, begun = [], 0, k + 1
 
-    return run
+    return lean(run)
 
 
 def _decode(path: str, kinds: list, chunk: int):
@@ -232,7 +239,7 @@ def _decode(path: str, kinds: list, chunk: int):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
                 at += step
 
-    return run
+    return lean(run)
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1 << 20) -> DataFrame:
@@ -269,5 +276,5 @@ def bpe_append(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
                 out = [*part.columns[:place], pa.array(ids, pa.list_(pa.int32())), pa.array(map(c.decode, ids), pa.string())]
                 yield pa.RecordBatch.from_arrays(out, [*names, "ids", "decoded"])
 
-    out = laid.mapInArrow(run, f"{fields}, ids array<int>, decoded string")
+    out = laid.mapInArrow(lean(run), f"{fields}, ids array<int>, decoded string")
     return out.toDF(*base.columns, ids_col, decoded_col)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import ship
+from sieve.llm.common import lean, ship
 from sieve.llm.template import compile_template
 
 # Control strings that a text must not contain unbroken.
@@ -129,7 +129,7 @@ def _render(template: str, kind: pa.DataType, chunk: int):
         if out[0]:
             yield _batch(out, kind)
 
-    return run
+    return lean(run)
 
 
 def _batch(out: list[list], kind: pa.DataType) -> pa.RecordBatch:
@@ -169,7 +169,7 @@ def _read(kind: pa.DataType):
                 found = []
         yield pa.RecordBatch.from_pylist(found, _digests(kind))
 
-    return run
+    return lean(run)
 
 
 def _digests(kind: pa.DataType) -> pa.Schema:
@@ -211,4 +211,4 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
                 at += len(piece)
             yield pa.RecordBatch.from_pylist([{"conv_id": conv, "formatted": "".join(text), "loss_spans": marked}], schema)
 
-    return pieces.mapInArrow(whole, f"conv_id {kind.simpleString()}, formatted string, loss_spans array<struct<start:long,end:long>>")
+    return pieces.mapInArrow(lean(whole), f"conv_id {kind.simpleString()}, formatted string, loss_spans array<struct<start:long,end:long>>")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import ship
+from sieve.llm.common import lean, ship
 from sieve.llm.dom import Node, Page, read_page
 from sieve.llm.labelled_pages import labelled_pages
 
@@ -200,4 +200,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
     kind = base.schema["id"].dataType.simpleString()
-    return base.mapInArrow(run, f"id {kind}, url string, text string").withColumnRenamed("id", id_col)
+    return base.mapInArrow(lean(run), f"id {kind}, url string, text string").withColumnRenamed("id", id_col)

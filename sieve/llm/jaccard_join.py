@@ -4,10 +4,16 @@ Equal sets are one node from the start. For the others the join is exact and has
 
 Cells. Sets that link differ in few shingles: at most d, which follows from the threshold and their sizes. Cut into more
 than d segments by hash, they agree on a whole segment. Each set therefore gives one key for each segment, and sets that
-share a key are put into a cell under one of them, the hub. A set is in as many cells as it has hubs, which
-for a group of near copies is a few; a large cell is dealt out to blocks, each with the hub. Keys travel as packed
-arrays, and a task that gathers them holds its distinct keys only, however often one occurs. Segments that are empty on
-both sides don't count: there are some to spare, and a set with more empty ones gives keys for these too.
+share a key are put into a cell under one of them, the hub. Cells that share sets are one cell if that fits a block, so that
+most sets move once. In larger groups a set is in as many cells as it has hubs, which is a few, and a large cell is
+dealt out to blocks, each with the hub. Keys travel as packed
+arrays, and a task that gathers them holds its distinct keys only, however often one occurs.
+
+Segments without a rare shingle (empty ones, or parts of passages that many documents share) would bring unlike sets
+together. There are segments to spare for them: a set with no more such segments than that gives no keys for them, and
+still has a common key with every set it links to; a set with more gives keys for all. Which shingles are rare is a
+fixed function of a count of all shingles in 2^22 buckets: any such function keeps the join exact, and the counts, of fixed
+size, only decide how many sets meet in vain.
 
 Signature trees. In each block the sets are leaves of a tree whose nodes hold the OR of their members' token bitmaps and
 the range of their sizes. Two nodes are compared top down, and pruned if their sizes can't link, if the bits they share
@@ -34,13 +40,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import cut, ship, text_of
+from sieve.llm.common import cut, lean, ship, text_of
 from sieve.llm.components import components
 from sieve.llm.shingles import U, mix, set_digest, shingle_set, word_numbers
 
 BLOCK, BLOCK_BYTES = 1024, 24 << 20
-KEYS_PER_BUCKET, CHUNK_KEYS = 1_500_000, 2_000_000
+KEYS_PER_BUCKET, CHUNK_KEYS, FLUSH_KEYS = 1_500_000, 400_000, 1 << 18
 WORDS64 = 16  # of a bitmap: 1024 bits
+SKETCH_BITS, SKETCH_PARTS = 22, 64
+
+
+def sketch_place(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> U(64 - SKETCH_BITS)).astype(np.int64)
 
 
 class Scheme:
@@ -62,12 +73,13 @@ class Scheme:
         differ = 2 * (self.bounds[c + 1] - 1) * (100 - self.percent) // (100 + self.percent)
         if differ == 0:
             return 0, 0
-        spare = 1 + differ // 50
+        spare = 1 + differ // 5
         return differ + 1 + spare, spare
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """Two sets that link but aren't equal share one of these."""
+    def keys(self, shingles: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+        """Two sets that link but aren't equal share one of these; ``common`` marks the buckets of frequent shingles."""
         own = self.class_of(len(shingles))
+        rare = slice(None) if common is None else ~common[sketch_place(shingles)]
         place, value = mix(shingles, 21) >> U(32), mix(shingles, 22)
         out = []
         for c in (own, own + 1):
@@ -77,9 +89,9 @@ class Scheme:
             at = ((place * U(m)) >> U(32)).astype(np.int64)
             sums = np.zeros(m, dtype=np.uint64)
             np.add.at(sums, at, value)
-            empty = np.bincount(at, minlength=m) == 0
+            weak = np.bincount(at[rare], minlength=m) == 0
             keys = mix(sums + mix(np.arange(m, dtype=np.uint64), c + 100), 23)
-            out.append(keys if empty.sum() > spare else keys[~empty])
+            out.append(keys if weak.sum() > spare else keys[~weak])
         return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
     def links(self, a: int, b: int, both: int) -> bool:
@@ -93,27 +105,81 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
         yield batch, (shingle_set(w, width) for w in word_numbers(texts))
 
 
-def _named(width: int):
+def _named(width: int, kind: pa.DataType):
+    """A row (id, sid, n) for each text, and at a task's end rows (part, counts): its shingles by bucket, at most 255 each."""
+
+    def rows(ids, names: list, sizes: list, parts: list, counts: list) -> pa.RecordBatch:
+        columns = [ids, pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parts, pa.int32()), pa.array(counts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "sid", "n", "part", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
         for batch, sets in _sets(batches, width):
             sizes, names = [], []
             for s in sets:
                 sizes.append(len(s))
                 names.append(set_digest(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64())], ["id", "sid", "n"])
+                np.add.at(seen, sketch_place(s), 1)
+            yield rows(batch.column(0), names, sizes, [None] * len(sizes), [None] * len(sizes))
+        low = np.minimum(seen, 255).astype(np.uint8).reshape(SKETCH_PARTS, -1)
+        none = [None] * SKETCH_PARTS
+        yield rows(pa.nulls(SKETCH_PARTS, kind), none, none, list(range(SKETCH_PARTS)), [_pack_counts(x) for x in low])
+
+    return lean(run)
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """A part's counts: all of them, or places (16 bits) and counts of those that aren't 0, whichever is shorter."""
+    at = np.flatnonzero(counts)
+    return counts.tobytes() if 3 * len(at) >= len(counts) else at.astype(np.uint16).tobytes() + counts[at].tobytes()
+
+
+def _add_counts(total: np.ndarray, packed: bytes) -> None:
+    if len(packed) == len(total):
+        total += np.frombuffer(packed, dtype=np.uint8)
+    else:
+        n = len(packed) // 3
+        total[np.frombuffer(packed, np.uint16, n)] += np.frombuffer(packed, np.uint8, n, 2 * n)
 
-    return run
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, counts), a part's together -> (part, total) with totals as 64-bit numbers."""
+    rows = ((p, c) for batch in batches for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    for part, group in itertools.groupby(rows, key=lambda r: r[0]):
+        total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, dtype=np.int64)
+        for _, counts in group:
+            _add_counts(total, counts)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
+
+
+def _common(named: DataFrame, total: int) -> np.ndarray:
+    """Buckets with many more shingles than chance would give them, as packed bits: 2^22, whatever the size of the corpus."""
+    mean = total / (1 << SKETCH_BITS)
+    limit = mean + 6 * mean**0.5 + 8
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _summed(batches):
+            bits = np.packbits(np.frombuffer(batch.column(1)[0].as_py(), dtype=np.int64) > limit)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
+
+    parts = named.filter("part is not null").select("part", "counts").repartition("part").sortWithinPartitions("part")
+    found = parts.mapInArrow(lean(marked), "part int, bits binary").collect()  # 64 rows of 8 KB
+    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS // 8), dtype=np.uint8)
+    for r in found:
+        out[r["part"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.reshape(-1)
 
 
 def _short(name: bytes) -> int:
     return int.from_bytes(name[:8], "little", signed=True)
 
 
-def _keyed(width: int, percent: int, buckets: int, least: int = 1 << 20):
+def _keyed(width: int, percent: int, buckets: int, packed, least: int = FLUSH_KEYS):
     """Rows (bucket, keys, owners, counts): packed low 48 bits of keys, by owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
+        common = np.unpackbits(packed.value).astype(bool)
         keys: list[np.ndarray] = []
         owners: list[int] = []
         seen: set[int] = set()
@@ -149,7 +215,7 @@ def _keyed(width: int, percent: int, buckets: int, least: int = 1 << 20):
 
         for _, sets in _sets(batches, width):
             for s in sets:
-                if len(s) and len(own := scheme.keys(s)):
+                if len(s) and len(own := scheme.keys(s, common)):
                     name = _short(set_digest(s))
                     if name not in seen:  # copies near each other give the same keys
                         seen.add(name)
@@ -162,11 +228,12 @@ def _keyed(width: int, percent: int, buckets: int, least: int = 1 << 20):
         if keys:
             yield flush()
 
-    return run
+    return lean(run)
 
 
-def _gathered() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of a bucket together -> (sid, hub) for sets that share a key with their hub, and for hubs themselves."""
+def _gathered(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of a bucket together -> (part, pairs): packed (sid, hub) for sets that share a key with their hub, and for hubs
+    themselves, by part of sid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (tuple(c[k].as_py() for c in batch.columns) for batch in batches for k in range(batch.num_rows))
@@ -190,12 +257,34 @@ def _gathered() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
                 if linked.any():
                     pairs = np.unique(np.column_stack([sid[linked], spread[linked]]), axis=0)
                     heads = np.unique(pairs[:, 1])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], heads])), pa.array(np.concatenate([pairs[:, 1], heads]))], ["sid", "hub"])
+                    pairs = np.vstack([pairs, np.column_stack([heads, heads])])
+                    part = (mix(pairs[:, 0].copy().view(np.uint64), 51) % U(parts)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    pairs, part = pairs[order], part[order]
+                    edges = np.flatnonzero(np.diff(part, prepend=-1))
+                    packed = [pairs[a:z].tobytes() for a, z in zip(edges, [*edges[1:], len(part)])]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[edges], pa.int32()), pa.array(packed, pa.binary())], ["part", "pairs"])
                 known, hubs = np.concatenate([known, own[~old]]), np.concatenate([hubs, hub[~old]])
                 order = np.argsort(known)
                 known, hubs = known[order], hubs[order]
 
-    return run
+    return lean(run)
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, pairs) of a part together -> its distinct (sid, hub)."""
+    rows = ((p, x) for batch in batches for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+        known, waiting, size = np.zeros((0, 2), dtype=np.int64), [], 0
+        for _, packed in itertools.chain(group, [(None, None)]):
+            if packed is not None:
+                waiting.append(np.frombuffer(packed, dtype=np.int64).reshape(-1, 2))
+                size += len(waiting[-1])
+            if waiting and (packed is None or size >= CHUNK_KEYS):
+                known, waiting, size = np.unique(np.vstack([known, *waiting]), axis=0), [], 0
+        for start in range(0, len(known), 1 << 16):
+            own = known[start : start + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())], ["sid", "hub"])
 
 
 def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
@@ -327,7 +416,7 @@ def _cells(percent: int):
             if a or rest:
                 yield _link_rows([hub] * (len(a) + len(rest)), [block] * (len(a) + len(rest)), a + rest, b + [None] * len(rest))
 
-    return run
+    return lean(run)
 
 
 def _crossing(percent: int):
@@ -348,7 +437,7 @@ def _crossing(percent: int):
             if a:
                 yield _link_rows([hub] * len(a), [block] * len(a), a, b)
 
-    return run
+    return lean(run)
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -380,7 +469,7 @@ def _packed(width: int):
             if out[0]:
                 yield _packed_rows(out)
 
-    return run
+    return lean(run)
 
 
 def _packed_rows(out: list[list]) -> pa.RecordBatch:
@@ -404,16 +493,23 @@ def jaccard_components(
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    named = cut(base.mapInArrow(_named(width), f"id {kind}, sid binary, n long"), "shingle-sets")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = f"id {kind}, sid binary, n long, part int, counts binary"
+    counted = cut(base.mapInArrow(_named(width, to_arrow_type(base.schema["id"].dataType)), schema), "shingle-sets")
+    named = counted.filter("part is null").select("id", "sid", "n")
     total = named.agg(F.sum("n")).first()[0] or 0
-    per_shingle = 2.4 * 2 * (100 - percent) / (100 + percent)  # keys for a shingle, roughly, in two size classes
-    buckets = int(total * per_shingle / KEYS_PER_BUCKET) + 1
+    buckets = int(total * 5.8 * (100 - percent) / (100 + percent) / KEYS_PER_BUCKET) + 1  # keys for a shingle, about
+    parts = buckets // 4 + 1
+    packed = docs.sparkSession.sparkContext.broadcast(_common(counted, total))
     members = (
-        base.mapInArrow(_keyed(width, percent, buckets), "bucket int, low binary, high binary, owners binary, counts binary")
+        base.mapInArrow(_keyed(width, percent, buckets, packed), "bucket int, low binary, high binary, owners binary, counts binary")
         .repartition(buckets, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_gathered(), "sid long, hub long")
-        .distinct()
+        .mapInArrow(_gathered(parts), "part int, pairs binary")
+        .repartition(parts, "part")
+        .sortWithinPartitions("part")
+        .mapInArrow(lean(_distinct), "sid long, hub long")
     )
     members = cut(members, "cells")  # hubs depend on the order in which keys arrived
     links = _links(base, named, members, width, percent, broadcast_rows, block)
@@ -439,21 +535,26 @@ def _links(base: DataFrame, named: DataFrame, members: DataFrame, width: int, pe
     wanted = owners.select(F.col("__row.id").alias("__wanted")).distinct()
     chosen = base.alias("l").join(_bounded(wanted, rows, broadcast_rows).alias("r"), F.col("id").eqNullSafe(F.col("__wanted")), "left_semi")
     sets = chosen.mapInArrow(_packed(width), "short long, sid binary, set binary")
-    sized = members.join(owners.select(F.col("__short").alias("sid"), "n"), "sid")
-    counted = sized.groupBy("hub").agg(
+    # Sets whose hubs connect them form a group; a group that fits a block is one cell, and each set moves once. Only
+    # larger groups are dealt by hub.
+    sizes = owners.select(F.col("__short").alias("sid"), "n")
+    groups = cut(components(members, "sid", "hub").withColumnsRenamed({"node": "sid", "component": "group"}), "cell-groups")
+    whole = groups.join(sizes, "sid").groupBy("group").agg(((F.count("*") <= block) & (F.sum("n") * 8 <= BLOCK_BYTES)).alias("fits"))
+    whole = cut(groups.join(whole, "group"), "cell-sizes")
+    fitting = whole.filter("fits").select(F.col("group").alias("hub"), "sid", F.lit(1).cast("long").alias("blocks"), F.lit(0).cast("long").alias("block"))
+    dealt = members.join(whole.filter(~F.col("fits")).select("sid"), "sid", "left_semi")
+    counted = dealt.join(sizes, "sid").groupBy("hub").agg(
         F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("long").alias("blocks")
     )
-    placed = cut(
-        members.join(counted, "hub").withColumn(
-            "block",
-            F.explode(
-                F.when(F.col("sid") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(
-                    F.array(F.pmod(F.xxhash64("sid"), F.col("blocks")))
-                )
-            ),
+    dealt = dealt.join(counted, "hub").withColumn(
+        "block",
+        F.explode(
+            F.when(F.col("sid") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(
+                F.array(F.pmod(F.xxhash64("sid"), F.col("blocks")))
+            )
         ),
-        "cell-members",
     )
+    placed = cut(fitting.unionByName(dealt), "cell-members")
     n_placed = placed.count()
 
     def with_sets(cells: DataFrame, n: int, *more: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import ship, text_of
+from sieve.llm.common import lean, ship, text_of
 
 # Kinds in their order, base patterns, and words that speak for or against a kind.
 KINDS = ("email", "ip", "card", "phone", "iban", "id")
@@ -115,7 +115,7 @@ def _search(threshold: float, window: int):
             spans = [[{"kind": k, "start": a, "end": b} for a, b, k in all_spans(t.as_py(), threshold, window)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, SPANS)], ["id", "spans"])
 
-    return run
+    return lean(run)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6, window: int = 40) -> DataFrame:

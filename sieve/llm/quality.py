@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import cut, ship, text_of
+from sieve.llm.common import cut, lean, ship, text_of
 
 FEATURES = (
     "log_words", "mean_word", "sd_word", "log_mean_line", "distinct_words", "top_word", "distinct_pairs", "distinct_lines",
@@ -136,7 +136,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["id", "features"])
 
     kind = base.schema["id"].dataType.simpleString()
-    return base.mapInArrow(run, f"id {kind}, features array<double>").withColumnRenamed("id", id_col)
+    return base.mapInArrow(lean(run), f"id {kind}, features array<double>").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -164,7 +164,7 @@ def fit_quality(
             yield pd.DataFrame({"label": k, "place": np.arange(m.size), "value": m.reshape(-1)})
 
     joined = table.select(F.col(id_col).alias("__own"), "features").join(marked, F.col("__own") == F.col("__id")).select("features", "__label")
-    rows = joined.mapInPandas(sums, "label int, place int, value double").groupBy("label", "place").agg(F.sum("value").alias("value")).collect()
+    rows = joined.mapInPandas(lean(sums), "label int, place int, value double").groupBy("label", "place").agg(F.sum("value").alias("value")).collect()
     moments = {}
     for k in (0, 1):
         m = np.zeros((d + 1) * (d + 1))
@@ -188,7 +188,7 @@ def score_features(table: DataFrame, model: QuadraticModel, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["id", "score"])
 
     base = table.select(F.col(id_col).alias("id"), "features")
-    out = base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, score double")
+    out = base.mapInArrow(lean(run), f"id {base.schema['id'].dataType.simpleString()}, score double")
     return out.withColumnRenamed("id", id_col)
 
 

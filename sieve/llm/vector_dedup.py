@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import cut, ship
+from sieve.llm.common import cut, lean, ship
 from sieve.llm.components import components
 
 SHARD, FAN, BALL_BLOCK = 2048, 32, 1024
@@ -107,7 +107,7 @@ def _assign(margin: float | None):
                 at = pa.array(row)
                 yield _shard_rows(new, nodes.take(at), vectors.take(at), home[row] & (nearest[row] == col))
 
-    return run
+    return lean(run)
 
 
 def _mixed(shard: int, names: np.ndarray) -> np.ndarray:
@@ -176,7 +176,7 @@ def _balls(least: float, most: int):
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[leader])], ["node", "leader"])
                     nodes, parts, n = [], [], 0
 
-    return run
+    return lean(run)
 
 
 # -- graph -------------------------------------------------------------------------------------------------------------
@@ -260,7 +260,7 @@ def _build():
             near = [ids[g].tolist() for g in flat_graph(x)]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near, pa.list_(pa.int64()))], ["leader", "near"])
 
-    return run
+    return lean(run)
 
 
 def _searched(reach: float, beam: int):
@@ -291,7 +291,7 @@ def _searched(reach: float, beam: int):
                 pairs = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 # -- verification -------------------------------------------------------------------------------------------------------
@@ -350,7 +350,7 @@ def _verified(least: float):
                     ["a", "b", "links"],
                 )
 
-    return run
+    return lean(run)
 
 
 def _verify(pairs: DataFrame, members: DataFrame, least: float, block: int) -> DataFrame:
@@ -403,7 +403,7 @@ def _audit(leaders: DataFrame, pairs: DataFrame, reach: float, most: int) -> flo
                 keep = a != b
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
 
-    true = leaders.select("group", "node", "vector").mapInArrow(run, "a long, b long").distinct()
+    true = leaders.select("group", "node", "vector").mapInArrow(lean(run), "a long, b long").distinct()
     true = cut(true, "audit")
     total = true.count()
     return true.join(pairs, ["a", "b"], "left_semi").count() / total if total else 1.0
