@@ -542,7 +542,7 @@ def _links(base: DataFrame, named: DataFrame, members: DataFrame, width: int, pe
     whole = groups.join(sizes, "sid").groupBy("group").agg(((F.count("*") <= block) & (F.sum("n") * 8 <= BLOCK_BYTES)).alias("fits"))
     whole = cut(groups.join(whole, "group"), "cell-sizes")
     fitting = whole.filter("fits").select(F.col("group").alias("hub"), "sid", F.lit(1).cast("long").alias("blocks"), F.lit(0).cast("long").alias("block"))
-    dealt = members.join(whole.filter(~F.col("fits")).select("sid"), "sid", "left_semi")
+    dealt = cut(members.join(whole.filter(~F.col("fits")).select("sid"), "sid", "left_semi"), "large-cells")
     counted = dealt.join(sizes, "sid").groupBy("hub").agg(
         F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("long").alias("blocks")
     )
