@@ -52,7 +52,7 @@ bits AS (SELECT doc_id, sum(CASE WHEN v >= 0 THEN (2::HUGEINT ** b)::HUGEINT ELS
 simhashes AS (SELECT d.doc_id, coalesce({SIGNED.format(h='h')}, 0)::BIGINT AS simhash FROM documents d LEFT JOIN bits USING (doc_id))"""
 
 
-@query("simhash64")
+@query("simhash64", f"WITH {SIMHASH} SELECT doc_id, simhash FROM simhashes")
 def simhash64(spark, sf_dir):
     return fingerprint.near_fingerprint(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
