@@ -2,7 +2,8 @@
 
 Inline elements make no nodes. Content of scripts, styles and the like is left out. Unclosed and stray tags are
 taken as browsers do in simple cases: a block closes an open paragraph, an item closes the item before it, a closing tag
-without an opening one is skipped. Reading is one pass without recursion, so depth and length don't matter.
+without an opening one is skipped. Quotes count only after an equals sign; one that is never closed is part of its value. A tag or
+declaration that the end of the page cuts off is left out. Reading is one pass without recursion, so depth and length don't matter.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass, field
 # Elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template textarea title iframe svg math object canvas audio video".split())
+TO_END = frozenset("script style template textarea title iframe".split())  # unclosed, they hold the rest of the page
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var".split()
@@ -26,9 +28,8 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-TAG = re.compile(
-    r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']{1,2000}+|\"[^\"]{0,20000}+\"|'[^']{0,20000}+'){0,64}+)>|(!--)|(?:[!?][^>]*+>))", re.S
-)
+START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|(!--)|[!?])")
+REST = re.compile(r"((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)>")
 NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])")
 
@@ -62,6 +63,7 @@ def read_page(html: str) -> Page:
     page = Page([Node("#page", -1, "")])
     nodes, stack = page.nodes, [0]
     open_tags: dict[str, int] = {}
+    unclosed: set[str] = set()  # hidden elements that no closing tag follows
     text: list[str] = []
     in_link = False
     at, n = 0, len(html)
@@ -89,18 +91,24 @@ def read_page(html: str) -> Page:
         open_tags[node.tag] -= 1
 
     while at < n:
-        m = TAG.search(html, at)
+        m = START.search(html, at)
         if not m:
             put(html[at:])
             break
         put(html[at : m.start()])
         at = m.end()
-        if m[4]:
+        if m[3]:
             end = html.find("-->", at)
             at = n if end < 0 else end + 3
             continue
         if m[2] is None:
+            end = html.find(">", at)
+            at = n if end < 0 else end + 1
             continue
+        rest = REST.match(html, at)
+        if not rest:
+            break
+        attributes, at = rest[1], rest.end()
         closing, tag = m[1] == "/", m[2].lower()
         if tag in VOID:
             if tag == "br":
@@ -113,9 +121,15 @@ def read_page(html: str) -> Page:
                 in_link = not closing
             continue
         if tag in HIDDEN:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at = end.end() if end else n
+            if not closing and not attributes.endswith("/") and tag not in unclosed:
+                end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+                close = html.find(">", end.end()) if end else -1
+                if close >= 0:
+                    at = close + 1
+                elif tag in TO_END:
+                    at = n
+                else:
+                    unclosed.add(tag)
             continue
         flush()
         in_link = False
@@ -135,10 +149,10 @@ def read_page(html: str) -> Page:
             if depth > 0 and nodes[stack[depth]].tag in closed:
                 while len(stack) > depth:
                     pop()
-        nodes.append(Node(tag, stack[-1], m[3]))
+        nodes.append(Node(tag, stack[-1], attributes))
         stack.append(len(nodes) - 1)
         open_tags[tag] = open_tags.get(tag, 0) + 1
-        if m[3].endswith("/") and tag not in ("p", "div", "li"):
+        if attributes.endswith("/") and tag not in ("p", "div", "li"):
             pop()
     flush()
     for k in range(len(nodes) - 1, 0, -1):

@@ -157,6 +157,22 @@ def test_main_text(spark):
     assert html_extract.extract_main_text(rows.limit(0)).count() == 0
 
 
+def test_long_tags_and_unclosed_elements():
+    def segments(source):
+        return [(page.nodes[k].tag, text) for page in [dom.read_page(source)] for k, text in page.segments if text.strip()]
+
+    long = [("div", "one"), ("p", "two"), ("body", "three")]
+    for tag in (f'<div><img src="data:image/png;base64,{"A" * 21_000}">', f'<div title="{"> " * 11_000}">', "<div " + "a='<b>' " * 500 + ">", '<div title="a"" id=x>'):
+        assert segments(f"<body>{tag}one</div><p>two</p>three</body>") == long
+    for tag in "svg math object noscript canvas audio video".split():
+        assert segments(f"<div>one<{tag}></div><p>two") == long[:2]
+        assert segments(f"<div>one<{tag}>x</{tag.upper()} y></div><p>two") == long[:2]
+    for tag in "script style template textarea title iframe".split():
+        assert segments(f"<div>one<{tag}></div><p>two") == long[:1]
+    assert segments("<div>one<a href='x") == long[:1]
+    assert segments("<div><a href='x>one</a></div><p>two") == long[:2]
+
+
 # -- PII
 def plain_base(text):
     import re
