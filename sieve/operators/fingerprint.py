@@ -25,10 +25,11 @@ def content_key(*fields: Column, label: Column | None = None) -> Column:
 def near_fingerprint(docs: DataFrame, key: str, text: Column, weighted: bool = False, most: int = MOST_TOKENS) -> DataFrame:
     """(key, simhash): for each bit, the sign of the votes of a text's tokens; ties are 1, texts without tokens 0.
 
-    Tokens are counted by text and hashed once each; the 64 votes are one aggregation with map-side combining. With
-    ``weighted`` a token votes by its count, at most 4.
+    Texts are dealt out by their key once; tokens are counted by text and hashed once each, and the 64 votes are summed, where
+    the text is. With ``weighted`` a token votes by its count, at most 4.
     """
-    words = docs.select(F.col(key), F.explode_outer(tokens(fingerprint_text(text), TOKEN, most)).alias("token"))
+    dealt = docs.select(F.col(key), fingerprint_text(text).alias("__text")).repartition(key)
+    words = dealt.select(F.col(key), F.explode_outer(tokens(F.col("__text"), TOKEN, most)).alias("token"))
     counts = words.groupBy(key, "token").agg(F.count("token").alias("n"))
     if weighted:
         counts = counts.withColumn("n", F.least(F.col("n"), F.lit(4)))
@@ -58,3 +59,18 @@ def near_pairs(hashes: DataFrame, most_distance: int = 2, column: str = "simhash
     left, right = distinct.select("part", "band", F.col("h").alias("a")), distinct.select("part", "band", F.col("h").alias("b"))
     close = left.join(right, ["part", "band"]).filter("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")))
     return close.filter(F.col("distance") <= most_distance).select("a", "b", "distance").distinct()
+
+
+def near_copies(hashes: DataFrame, key: str, most_distance: int = 2, column: str = "simhash") -> DataFrame:
+    """(a, b, distance) of keys, a < b: each row with the first of its fingerprint at distance 0, and first rows of near fingerprints.
+
+    Rows of equal fingerprints name their first one only, so copies don't multiply; two rows are near if their firsts are
+    the same or a pair. Complete up to 3.
+    """
+    hashes = hashes.select(F.col(key).alias("b"), F.col(column).alias("h")).repartition("h")  # all uses below read this one exchange
+    first = hashes.groupBy("h").agg(F.min("b").alias("a"))
+    same = hashes.join(first, "h").filter(~F.col("b").eqNullSafe(F.col("a"))).select("a", "b", F.lit(0).alias("distance"))
+    cut = bands(first, "h")
+    left, right = cut.select("part", "band", F.col("h").alias("h1"), F.col("a").alias("a1")), cut.select("part", "band", F.col("h").alias("h2"), F.col("a").alias("a2"))
+    close = left.join(right, ["part", "band"]).filter("h1 < h2").withColumn("distance", hamming(F.col("h1"), F.col("h2"))).filter(F.col("distance") <= most_distance)
+    return same.unionByName(close.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"), "distance").distinct())

@@ -64,7 +64,7 @@ def simhash64_weighted(spark, sf_dir):
 
 @query("near_duplicate_pairs")
 def near_duplicate_pairs(spark, sf_dir):
-    return fingerprint.near_pairs(simhash64(spark, sf_dir), 2)
+    return fingerprint.near_copies(simhash64(spark, sf_dir), "doc_id", 2)
 
 
 KEYED = f"keyed AS (SELECT doc_id, y, sha256({NORM.format(c='text')}) AS key FROM messages)"

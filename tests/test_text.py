@@ -58,6 +58,12 @@ def test_simhash_and_pairs(spark):
     assert leakage.leak_counts(rows, index, "k").first().asDict() == {"rows": 3, "exact_leaks": 1, "near_leaks": 1}
 
 
+def test_near_copies_name_every_document(spark):
+    data = [(7, 0b1011), (3, 0b1011), (5, 0b1000), (9, 0b1011), (4, 1 << 40), (6, -1)]
+    pairs = sorted(tuple(r) for r in fingerprint.near_copies(spark.createDataFrame(data, "k long, simhash long"), "k", 2).collect())
+    assert pairs == [(3, 5, 2), (3, 7, 0), (3, 9, 0), (4, 5, 2)]
+
+
 def test_dedupe_policies(spark):
     rows = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "b", 0), (4, "c", 0), (5, "c", 1)], "k long, key string, y int")
     ids = lambda df: sorted(r["k"] for r in df.collect())
