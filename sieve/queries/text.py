@@ -363,7 +363,7 @@ def cue_flags(spark, sf_dir):
 
 @query("char_ngrams")
 def char_ngrams(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(FE.char_wb_ngrams(F.col("text"), 3, 3)).alias("gram"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(FE.char_wb_ngrams(F.col("text"))).alias("gram"))
     return d.groupBy("gram").agg(F.count("*").alias("n"))
 
 

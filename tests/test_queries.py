@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sieve.operators import experts
-from sieve.queries import models
+from sieve.queries import models, text
 
 
 def test_model_queries_are_not_shrunk(spark, monkeypatch):
@@ -18,3 +18,9 @@ def test_model_queries_are_not_shrunk(spark, monkeypatch):
     for name in ("nb_complement", "svc_sigmoid"):
         models.query.__globals__["QUERIES"][name](spark, "")
     assert asked["folds"] == [5, 5] and asked["linear_svm"] == [{"iterations": 50}]
+
+
+def test_char_ngrams_have_three_sizes(spark, tmp_path):
+    spark.createDataFrame([(1, "abc Abc")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["gram"]: r["n"] for r in text.char_ngrams(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys([" ab", "abc", "bc ", " abc", "abc ", " abc "], 2)
