@@ -46,7 +46,7 @@ from sieve.llm.shingles import U, mix, set_digest, shingle_set, word_numbers
 
 BLOCK, BLOCK_BYTES = 1024, 24 << 20
 KEYS_PER_BUCKET, CHUNK_KEYS, FLUSH_KEYS = 1_500_000, 400_000, 1 << 18
-WORDS64 = 16  # of a bitmap: 1024 bits
+SIGNATURE_BYTES = 0.5  # for a shingle, at most
 SKETCH_BITS, SKETCH_PARTS = 22, 64
 
 
@@ -175,14 +175,14 @@ def _short(name: bytes) -> int:
 
 
 def _keyed(width: int, percent: int, buckets: int, packed, least: int = FLUSH_KEYS):
-    """Rows (bucket, keys, owners, counts): packed low 48 bits of keys, by owner."""
+    """Rows (bucket, keys, owners, counts): packed low 40 bits of keys, by owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
         common = np.unpackbits(packed.value).astype(bool)
         keys: list[np.ndarray] = []
         owners: list[int] = []
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -202,7 +202,7 @@ def _keyed(width: int, percent: int, buckets: int, packed, least: int = FLUSH_KE
                     (
                         int(bucket[a]),
                         part.astype(np.uint32).tobytes(),
-                        (part >> U(32)).astype(np.uint16).tobytes(),
+                        ((part >> U(32)) & U(255)).astype(np.uint8).tobytes(),
                         named[own].tobytes(),
                         np.diff(np.append(first, z - a)).astype(np.int32).tobytes(),
                     ),
@@ -216,11 +216,11 @@ def _keyed(width: int, percent: int, buckets: int, packed, least: int = FLUSH_KE
         for _, sets in _sets(batches, width):
             for s in sets:
                 if len(s) and len(own := scheme.keys(s, common)):
-                    name = _short(set_digest(s))
+                    name = set_digest(s)
                     if name not in seen:  # copies near each other give the same keys
                         seen.add(name)
                         keys.append(own)
-                        owners.append(name)
+                        owners.append(_short(name))
                         size += len(own)
                 if size >= least:
                     yield flush()
@@ -240,7 +240,7 @@ def _gathered(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         for _, bucket in itertools.groupby(rows, key=lambda r: r[0]):
             known, hubs = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
             for chunk in _chunks(bucket):
-                key = np.concatenate([np.frombuffer(r[1], np.uint32).astype(np.uint64) | (np.frombuffer(r[2], np.uint16).astype(np.uint64) << U(32)) for r in chunk])
+                key = np.concatenate([np.frombuffer(r[1], np.uint32).astype(np.uint64) | (np.frombuffer(r[2], np.uint8).astype(np.uint64) << U(32)) for r in chunk])
                 sid = np.concatenate([np.repeat(np.frombuffer(r[3], np.int64), np.frombuffer(r[4], np.int32)) for r in chunk])
                 order = np.lexsort((sid, key))
                 key, sid = key[order], sid[order]
@@ -299,13 +299,33 @@ def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield chunk
 
 
-class Cell:
-    """Sets of one block, their signature tree and a union-find of the links found."""
+def size_class(n: int) -> int:
+    """Of a signature: bitmaps of class c have 4 * 2^c bits, between two and four for each shingle."""
+    return max(4, int(n).bit_length() - 1)
+
+
+def signature(shingles: np.ndarray) -> bytes:
+    """A set's size, its least mixed shingle and its bitmap: about a twentieth of the set itself."""
+    bits = 4 << size_class(len(shingles))
+    marks = np.zeros(bits, dtype=bool)
+    marks[(mix(shingles, 31) & U(bits - 1)).astype(np.int64)] = True
+    head = np.array([len(shingles), mix(shingles, 32).min()], dtype=np.uint64)
+    return head.tobytes() + np.packbits(marks, bitorder="little").tobytes()
+
 
-    def __init__(self, sets: list[np.ndarray], scheme: Scheme):
-        self.sets, self.scheme = sets, scheme
-        self.sizes = np.array([len(s) for s in sets])
-        self.parent = list(range(len(sets)))
+class Cell:
+    """Sets of one block, or only their signatures, and a union-find of the links found.
+
+    With sets, links are exact; with signatures alone a link is a pair that the signatures can't rule out.
+    """
+
+    def __init__(self, scheme: Scheme, signatures: list[bytes] | None = None, sets: list[np.ndarray] | None = None):
+        self.scheme, self.sets, self.signatures = scheme, sets, signatures
+        if sets is not None:
+            self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        else:
+            self.sizes = np.array([int.from_bytes(x[:8], "little") for x in signatures], dtype=np.int64)
+        self.parent = list(range(len(self.sizes)))
         self.compared = 0
 
     def find(self, x: int) -> int:
@@ -321,25 +341,80 @@ class Cell:
 
     def linked(self, a: int, b: int) -> bool:
         self.compared += 1
+        if self.sets is None:
+            return True
         small, large = sorted((a, b), key=lambda k: self.sizes[k])
         s, l = self.sets[small], self.sets[large]
         at = np.searchsorted(l, s)
         at[at == len(l)] = 0
         return self.scheme.links(len(s), len(l), int((l[at] == s).sum()))
 
-    def build(self, fan: int = 8) -> None:
-        """Leaves in order of their smallest hashes, so that similar sets stand together; levels of nodes above."""
-        n = len(self.sets)
-        bits = np.zeros((n, WORDS64 * 64), dtype=bool)
-        least = np.zeros((n, 3), dtype=np.uint64)
-        for k, s in enumerate(self.sets):
-            bits[k, (mix(s, 31) >> U(64 - 10)).astype(np.int64)] = True
-            least[k] = [mix(s, 32 + j).min() for j in range(3)]
-        self.order = np.lexsort((self.sizes, least[:, 2], least[:, 1], least[:, 0]))
-        packed = np.packbits(bits, axis=1).view(np.uint64)[self.order]
-        sizes = self.sizes[self.order]
-        excess = sizes - np.bitwise_count(packed).sum(axis=1).astype(np.int64)
-        self.levels = [(packed, sizes, sizes, excess)]
+    def marks(self, members: np.ndarray, c: int) -> np.ndarray:
+        """Bitmaps of members, folded to class c."""
+        words = (4 << c) // 64
+        out = np.zeros((len(members), words), dtype=np.uint64)
+        for row, k in enumerate(members):
+            own = np.frombuffer(self.signatures[k], np.uint64, offset=16)
+            out[row] = np.bitwise_or.reduce(own.reshape(-1, words), axis=0)
+        return out
+
+    def _signed(self) -> None:
+        if self.signatures is None:
+            self.signatures = [signature(s) for s in self.sets]
+
+    def may_link(self, x: tuple, y: tuple) -> np.ndarray:
+        """For nodes x against nodes y (bitmaps, least and largest sizes, largest excess of size over bits): whether the
+        best pair of members could link by its sizes and the largest overlap that the bitmaps allow."""
+        t = self.scheme.percent
+        p, low, high, excess = x
+        q, low2, high2, excess2 = y
+        shared = np.bitwise_count(p[:, None, :] & q[None, :, :]).sum(axis=2, dtype=np.int64) + np.minimum(excess[:, None], excess2[None, :])
+        most = np.minimum(shared, np.minimum(high[:, None], high2[None, :]))
+        fit = (100 * high[:, None] >= t * low2[None, :]) & (100 * high2[None, :] >= t * low[:, None])
+        return fit & ((100 + t) * most >= t * (low[:, None] + low2[None, :]))
+
+    def meet(self, hub: int) -> None:
+        """Compare all members with one of them."""
+        others = np.flatnonzero(np.arange(len(self.sizes)) != hub)
+        t, n = self.scheme.percent, self.sizes[hub]
+        others = others[(100 * self.sizes[others] >= t * n) & (100 * n >= t * self.sizes[others])]
+        if self.sets is None:
+            own = size_class(n)
+            kinds = np.array([size_class(k) for k in self.sizes[others]], dtype=np.int64)
+            close = []
+            for c in np.unique(kinds):
+                members, width = others[kinds == c], min(own, int(c))
+                for start in range(0, len(members), 256):
+                    some = members[start : start + 256]
+                    close.append(some[self.may_link(_leaves(self.marks(some, width), self.sizes[some]), _leaves(self.marks([hub], width), self.sizes[[hub]]))[:, 0]])
+            others = np.concatenate(close) if close else others[:0]
+        for k in others.tolist():
+            if self.find(k) != self.find(hub) and self.linked(hub, k):
+                self.join(hub, k)
+
+    def search(self, apart: np.ndarray | None = None) -> None:
+        """Find all links not implied by others; ``apart``: only pairs with different values there.
+
+        Linked sets have sizes of neighbouring classes, so each class makes a tree with the next ones folded to its width.
+        """
+        if len(self.sizes) < 2:
+            return
+        self._signed()
+        kinds = np.array([size_class(n) for n in self.sizes])
+        reach = 0
+        while (1 << reach) * self.scheme.percent < 100:
+            reach += 1
+        for c in np.unique(kinds).tolist():
+            members = np.flatnonzero((kinds >= c) & (kinds <= c + reach))
+            if len(members) > 1:
+                self._tree(members, c)
+                self._traverse(apart)
+
+    def _tree(self, members: np.ndarray, c: int, fan: int = 8) -> None:
+        """Leaves in order of their least shingles, so that similar sets stand together; levels of nodes above."""
+        least = np.array([int.from_bytes(self.signatures[k][8:16], "little") for k in members], dtype=np.uint64)
+        self.order = members[np.lexsort((self.sizes[members], least))]
+        self.levels = [_leaves(self.marks(self.order, c), self.sizes[self.order])]
         while len(self.levels[-1][0]) > 1:
             p, low, high, ex = self.levels[-1]
             at = np.arange(0, len(p), fan)
@@ -355,60 +430,61 @@ class Cell:
         root = self.find(int(members[0]))
         return root if all(self.find(int(m)) == root for m in members[1:]) else -1
 
-    def may_link(self, level: int, x: int, y: int) -> bool:
-        """Whether the best pair of members could link: sizes, then the largest overlap that the bitmaps allow."""
-        p, low, high, excess = self.levels[level]
-        t = self.scheme.percent
-        if 100 * high[x] < t * low[y] or 100 * high[y] < t * low[x]:
-            return False
-        if x == y:
-            return True
-        shared = int(np.bitwise_count(p[x] & p[y]).sum()) + int(min(excess[x], excess[y]))
-        return (100 + t) * min(shared, int(high[x]), int(high[y])) >= t * int(low[x] + low[y])
-
-    def traverse(self, apart: np.ndarray | None = None) -> None:
-        """Find all links not implied by others; ``apart``: only pairs with different values there."""
-        if len(self.sets) < 2:
-            return
+    def _traverse(self, apart: np.ndarray | None) -> None:
         stack = [(len(self.levels) - 1, 0, 0)]
         while stack:
             level, x, y = stack.pop()
-            if level == 0:
-                a, b = int(self.order[x]), int(self.order[y])
-                if x != y and (apart is None or apart[a] != apart[b]) and self.find(a) != self.find(b) and self.may_link(0, x, y) and self.linked(a, b):
-                    self.join(a, b)
-                continue
-            if not self.may_link(level, x, y):
-                continue
             if (root := self.one_root(level, x)) >= 0 and root == self.one_root(level, y):
                 continue
-            below = len(self.levels[level - 1][0])
-            xs = range(x * self.fan, min((x + 1) * self.fan, below))
-            ys = range(y * self.fan, min((y + 1) * self.fan, below))
-            stack += [(level - 1, i, j) for i in xs for j in ys if x != y or i <= j]
+            below = self.levels[level - 1]
+            xs = slice(x * self.fan, min((x + 1) * self.fan, len(below[0])))
+            ys = slice(y * self.fan, min((y + 1) * self.fan, len(below[0])))
+            may = self.may_link(tuple(v[xs] for v in below), tuple(v[ys] for v in below))
+            if x == y:
+                may = np.triu(may, 1 if level == 1 else 0)
+                if level > 1:
+                    np.fill_diagonal(may, True)
+            for i, j in np.argwhere(may).tolist():
+                i, j = i + xs.start, j + ys.start
+                if level > 1:
+                    stack.append((level - 1, i, j))
+                    continue
+                a, b = int(self.order[i]), int(self.order[j])
+                if (apart is None or apart[a] != apart[b]) and self.find(a) != self.find(b) and self.linked(a, b):
+                    self.join(a, b)
+
+
+def _leaves(packed: np.ndarray, sizes: np.ndarray) -> tuple:
+    return packed, sizes, sizes, sizes - np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
+
 
+def _cell(scheme: Scheme, exact: bool, values: list[bytes]) -> Cell:
+    return Cell(scheme, sets=[np.frombuffer(v, np.uint64) for v in values]) if exact else Cell(scheme, signatures=values)
 
-def _cells(percent: int):
+
+def _cells(percent: int, exact: bool):
     """Rows of a block together -> links (a, b) of a spanning forest; for blocks of larger cells also the members that aren't
-    linked to the hub, as rows with b null."""
+    linked to the hub, as rows with b null. Rows with the same class are linked already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
         for (hub, block, blocks), rows in itertools.groupby(_set_rows(batches), key=lambda r: r[:3]):
-            members = {r[3]: np.frombuffer(r[4], np.uint64) for r in rows}
-            names, sets = list(members), list(members.values())
-            cell = Cell(sets, scheme)
+            members = {r[3]: r[4:6] for r in rows}
+            names = list(members)
+            cell = _cell(scheme, exact, [v[0] for v in members.values()])
+            known: dict[int, int] = {}
+            for k, (_, linked) in enumerate(members.values()):
+                if linked is not None:
+                    cell.join(known.setdefault(linked, k), k)
+            before = [cell.find(k) for k in range(len(names))]
             heads = [k for k, name in enumerate(names) if _short(name) == hub]
             for h in heads:
-                for k in range(len(names)):
-                    if k != h and cell.find(k) != cell.find(h) and cell.linked(h, k):
-                        cell.join(h, k)
+                cell.meet(h)
             if len({cell.find(k) for k in range(len(names))}) > 1:
-                cell.build()
-                cell.traverse()
+                cell.search()
             roots = [cell.find(k) for k in range(len(names))]
-            a = [names[r] for k, r in enumerate(roots) if r != k]
-            b = [names[k] for k, r in enumerate(roots) if r != k]
+            new = [k for k, r in enumerate(roots) if r != k and before[k] == k]
+            a, b = [names[roots[k]] for k in new], [names[k] for k in new]
             rest = []
             if blocks > 1:
                 central = {roots[h] for h in heads}
@@ -419,18 +495,17 @@ def _cells(percent: int):
     return lean(run)
 
 
-def _crossing(percent: int):
-    """Rows (hub, block, blocks, sid, set, home) of a block and some strays of other blocks -> links between the two."""
+def _crossing(percent: int, exact: bool):
+    """Rows (hub, block, blocks, sid, set, class, home) of a block and some strays of other blocks -> links between the two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
         for (hub, block, _), rows in itertools.groupby(_set_rows(batches), key=lambda r: r[:3]):
-            members = {(r[3], r[5]): np.frombuffer(r[4], np.uint64) for r in rows}
+            members = {(r[3], r[6]): r[4] for r in rows}
             names = [k[0] for k in members]
             homes = np.array([k[1] for k in members])
-            cell = Cell(list(members.values()), scheme)
-            cell.build()
-            cell.traverse(apart=(homes == block).astype(np.int8))
+            cell = _cell(scheme, exact, list(members.values()))
+            cell.search(apart=(homes == block).astype(np.int8))
             roots = [cell.find(k) for k in range(len(names))]
             a = [names[r] for k, r in enumerate(roots) if r != k and names[r] != names[k]]
             b = [names[k] for k, r in enumerate(roots) if r != k and names[r] != names[k]]
@@ -451,7 +526,9 @@ def _link_rows(hubs: list, blocks: list, a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(hubs, n), pa.array(blocks, n), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["hub", "block", "a", "b"])
 
 
-def _packed(width: int):
+def _packed(width: int, exact: bool):
+    """Rows (short, sid, set) of texts with words: whole sets, or their signatures."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, width):
             out: list[list] = [[], [], []]
@@ -460,9 +537,10 @@ def _packed(width: int):
                 if not len(s):
                     continue
                 name = set_digest(s)
-                for column, v in zip(out, (_short(name), name, s.tobytes())):
+                value = s.tobytes() if exact else signature(s)
+                for column, v in zip(out, (_short(name), name, value)):
                     column.append(v)
-                size += len(s) * 8
+                size += len(value)
                 if size >= 4 << 20:
                     yield _packed_rows(out)
                     out, size = [[], [], []], 0
@@ -529,57 +607,106 @@ def _links(base: DataFrame, named: DataFrame, members: DataFrame, width: int, pe
     short = _short_column("sid")
     rows = members.count()
     active = members.select("sid").distinct()
-    owners = named.filter("sid is not null").select("id", short.alias("__short"), "n")
+    owners = named.filter("sid is not null").select("id", "sid", short.alias("__short"), "n")
     owners = owners.join(_bounded(active.select(F.col("sid").alias("__short")), rows, broadcast_rows), "__short")
-    owners = cut(owners.groupBy("__short").agg(F.min(F.struct(F.col("id").isNull(), "id")).alias("__row"), F.max("n").alias("n")), "cell-owners")
-    wanted = owners.select(F.col("__row.id").alias("__wanted")).distinct()
-    chosen = base.alias("l").join(_bounded(wanted, rows, broadcast_rows).alias("r"), F.col("id").eqNullSafe(F.col("__wanted")), "left_semi")
-    sets = chosen.mapInArrow(_packed(width), "short long, sid binary, set binary")
-    # Sets whose hubs connect them form a group; a group that fits a block is one cell, and each set moves once. Only
-    # larger groups are dealt by hub.
-    sizes = owners.select(F.col("__short").alias("sid"), "n")
+    # By whole names: sets whose short names clash go everywhere together.
+    owners = cut(owners.groupBy("__short", "sid").agg(F.min(F.struct(F.col("id").isNull(), "id")).alias("__row"), F.max("n").alias("n")), "cell-owners")
+    sizes = owners.groupBy(F.col("__short").alias("sid")).agg(F.sum("n").alias("n"), F.count("*").alias("sets"))
+
+    def named_rows(rows_of: DataFrame, own: DataFrame) -> DataFrame:
+        wanted = own.select(F.col("__row.id").alias("__wanted")).distinct()
+        return rows_of.alias("l").join(_bounded(wanted, rows, broadcast_rows).alias("r"), F.col("id").eqNullSafe(F.col("__wanted")), "left_semi")
+
+    chosen = cut(named_rows(base, owners), "cell-texts")  # the whole table is read for them once
+
+    def source(names: DataFrame | None, exact: bool) -> DataFrame:
+        """(short, sid, set) of active sets, or of those named."""
+        texts = chosen
+        if names is not None:
+            names = names.select(F.col("sid").alias("__short")).distinct()
+            texts = named_rows(chosen, owners.join(_bounded(names, rows, broadcast_rows), "__short", "left_semi"))
+        return texts.mapInArrow(_packed(width, exact), "short long, sid binary, set binary")
+
+    def dealt(cells: DataFrame, weight: float) -> DataFrame:
+        """Cells (hub, sid, …) as blocks, each with the hub; ``weight`` is bytes for a shingle."""
+        counted = cells.join(sizes, "sid").groupBy("hub").agg(
+            F.greatest(F.ceil(F.sum("sets") / block), F.ceil(F.sum("n") * weight / BLOCK_BYTES)).cast("long").alias("blocks")
+        )
+        own = F.when(F.col("sid") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        return cells.join(counted, "hub").withColumn("block", F.explode(own.otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("blocks"))))))
+
+    def grouped(groups: DataFrame, weight: float) -> DataFrame:
+        """(sid, group) -> (sid, group, fits): whether the group is one block. Large groups are few rows and found by an aggregate."""
+        large = groups.join(sizes, "sid").groupBy("group").agg(F.sum("sets").alias("sets"), F.sum("n").alias("n"))
+        large = cut(large.filter((F.col("sets") > block) | (F.col("n") * weight > BLOCK_BYTES)).select("group", F.lit(False).alias("fits")), "large-groups")
+        return groups.join(_bounded(large, large.count(), broadcast_rows), "group", "left").withColumn("fits", F.col("fits").isNull())
+
+    def one_cell(groups: DataFrame) -> DataFrame:
+        return groups.filter("fits").select(
+            F.col("group").alias("hub"), "sid", F.lit(None).cast("long").alias("class"), F.lit(1).cast("long").alias("blocks"), F.lit(0).cast("long").alias("block")
+        )
+
+    def laid(cells: DataFrame, n: int, values: DataFrame, keys: tuple, *more: str) -> DataFrame:
+        joined = values.join(_bounded(cells.withColumnRenamed("sid", "short"), n, broadcast_rows), "short")
+        return joined.select("hub", "block", "blocks", "sid", "set", "class", *more).repartition(*keys).sortWithinPartitions(*keys)
+
+    def searched(placed: DataFrame, values: DataFrame, exact: bool, strays: bool = True) -> DataFrame:
+        """Links found in blocks, and between members that their block doesn't link to the hub and all other blocks."""
+        at = laid(placed, placed.count(), values, ("hub", "block"))
+        found = cut(at.mapInArrow(_cells(percent, exact), "hub long, block long, a binary, b binary"), "links" if exact else "meetings")
+        links = found.filter("b is not null").select("a", "b")
+        lone = found.filter("b is null").select("hub", F.col("block").alias("home"), _short_column("a").alias("sid"))
+        if not strays or not lone.limit(1).count():
+            return links
+        large = placed.filter("blocks > 1")
+        per = lone.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
+        moving = lone.join(per, "hub").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")))
+        counted = large.groupBy("hub").agg(F.max("blocks").alias("blocks"))
+        moving = moving.join(counted, "hub").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        moving = moving.filter("block <> home").select("hub", "block", "part", "sid", "home")
+        staying = large.join(per, "hub").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        staying = staying.select("hub", "block", "part", "sid", F.col("block").alias("home"))
+        both = cut(moving.unionByName(staying).distinct(), "cell-strays").withColumnRenamed("part", "blocks").withColumn("class", F.lit(None).cast("long"))
+        at = laid(both, both.count(), values, ("hub", "block", "blocks"), "home")
+        more = cut(at.mapInArrow(_crossing(percent, exact), "hub long, block long, a binary, b binary"), "more-links")
+        return links.unionByName(more.select("a", "b"))
+
+    # Signatures first. Sets whose hubs connect them form a group; a group that fits a block is one cell, and each
+    # signature moves once. Only larger groups are dealt by hub.
+    none = F.lit(None).cast("long").alias("class")
     groups = cut(components(members, "sid", "hub").withColumnsRenamed({"node": "sid", "component": "group"}), "cell-groups")
-    whole = groups.join(sizes, "sid").groupBy("group").agg(((F.count("*") <= block) & (F.sum("n") * 8 <= BLOCK_BYTES)).alias("fits"))
-    whole = cut(groups.join(whole, "group"), "cell-sizes")
-    fitting = whole.filter("fits").select(F.col("group").alias("hub"), "sid", F.lit(1).cast("long").alias("blocks"), F.lit(0).cast("long").alias("block"))
-    dealt = cut(members.join(whole.filter(~F.col("fits")).select("sid"), "sid", "left_semi"), "large-cells")
-    counted = dealt.join(sizes, "sid").groupBy("hub").agg(
-        F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("long").alias("blocks")
-    )
-    dealt = dealt.join(counted, "hub").withColumn(
-        "block",
-        F.explode(
-            F.when(F.col("sid") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(
-                F.array(F.pmod(F.xxhash64("sid"), F.col("blocks")))
-            )
-        ),
-    )
-    placed = cut(fitting.unionByName(dealt), "cell-members")
-    n_placed = placed.count()
-
-    def with_sets(cells: DataFrame, n: int, *more: str) -> DataFrame:
-        joined = sets.join(_bounded(cells.withColumnRenamed("sid", "short"), n, broadcast_rows), "short")
-        return joined.select("hub", "block", "blocks", "sid", "set", *more)
-
-    laid = with_sets(placed, n_placed).repartition("hub", "block").sortWithinPartitions("hub", "block")
-    found = cut(laid.mapInArrow(_cells(percent), "hub long, block long, a binary, b binary"), "links")
-    links = found.filter("b is not null").select("a", "b")
-    strays = found.filter("b is null").select("hub", F.col("block").alias("home"), _short_column("a").alias("sid"))
-    n_strays = strays.count()
-    if not n_strays:
+    groups = grouped(groups, SIGNATURE_BYTES)
+    large = members.join(groups.filter(~F.col("fits")).select("sid"), "sid", "left_semi").select("sid", "hub", none)
+    placed = cut(one_cell(groups).unionByName(dealt(large, SIGNATURE_BYTES)), "cell-members")
+    meetings = searched(placed, source(None, False), False)
+    # Sets that may link form groups again; only these sets move, and in a group of one block each moves once.
+    groups = components(meetings.select(_short_column("a").alias("a"), _short_column("b").alias("b")), "a", "b")
+    groups = cut(grouped(groups.withColumnsRenamed({"node": "sid", "component": "group"}), 8), "groups")
+    placed = one_cell(groups)
+    links = searched(cut(placed, "cell-members"), source(placed, True), True)
+    large = groups.filter(~F.col("fits")).select("sid", "group")
+    if not large.limit(1).count():
+        return links
+    # In larger groups, a set first meets the hub that most sets share with it; where its other hubs have sets that
+    # aren't connected with it by then, those cells are searched, too.
+    cells = members.join(large, "sid")
+    head = cells.groupBy("group", "hub").agg(F.min(F.struct(F.col("sid") != F.col("hub"), "sid"))["sid"].alias("head"), F.count("*").alias("met"))
+    cells = cut(cells.join(head, ["group", "hub"]).select("sid", F.col("head").alias("hub"), "met").groupBy("sid", "hub").agg(F.max("met").alias("met")), "large-cells")
+    first = cells.groupBy("sid").agg(F.max(F.struct("met", "hub"))["hub"].alias("hub"))
+    first = first.unionByName(first.select(F.col("hub").alias("sid"), "hub")).distinct()
+    values = source(large, True)
+    near = searched(cut(dealt(first.select("sid", "hub", none), 8), "cell-members"), values, True, strays=False)
+    classes = components(near.select(_short_column("a").alias("a"), _short_column("b").alias("b")), "a", "b").withColumnsRenamed({"node": "sid", "component": "class"})
+    cells = cells.select("sid", "hub").join(classes, "sid", "left").join(sizes.select("sid", "sets"), "sid")
+    # A short name that two sets share stands for neither.
+    cells = cut(cells.select("sid", "hub", F.when(F.col("sets") == 1, F.coalesce("class", "sid")).alias("class")), "large-classes")
+    mixed = cells.groupBy("hub").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count_if(F.col("class").isNull()).alias("unsure"))
+    mixed = mixed.filter("low <> high OR unsure > 0").select("hub")
+    left = cells.join(mixed, "hub", "left_semi")
+    links = links.unionByName(near)
+    if not left.limit(1).count():
         return links
-    # Members that their block doesn't link to the hub meet the members of the other blocks, some strays at a time.
-    large = placed.filter("blocks > 1")
-    per = strays.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
-    moving = strays.join(per, "hub").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")))
-    moving = moving.join(counted, "hub").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    moving = moving.filter("block <> home").select("hub", "block", "part", "sid", "home")
-    staying = large.join(per, "hub").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    staying = staying.select("hub", "block", "part", "sid", F.col("block").alias("home"))
-    both = cut(moving.unionByName(staying).distinct(), "cell-strays").withColumnRenamed("part", "blocks")
-    laid = with_sets(both, both.count(), "home").repartition("hub", "block", "blocks").sortWithinPartitions("hub", "block", "blocks")
-    more = cut(laid.mapInArrow(_crossing(percent), "hub long, block long, a binary, b binary"), "more-links")
-    return links.unionByName(more.select("a", "b"))
+    return links.unionByName(searched(cut(dealt(left, 8), "cell-members"), source(left, True), True))
 
 
 def _short_column(name: str):

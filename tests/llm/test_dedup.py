@@ -115,12 +115,18 @@ def test_keys_find_all_links():
 def test_trees_prune_no_link():
     texts = near_texts(7, 300)
     sets = [shingle_set(w, 4) for w in word_numbers(t.encode() for t in texts)]
-    cell = J.Cell(sets, J.Scheme(85))
-    cell.build()
-    cell.traverse()
+    cell = J.Cell(J.Scheme(85), sets=sets)
+    cell.search()
     links = [(a, b) for a in range(len(sets)) for b in range(a) if cell.scheme.links(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b])))]
     assert [cell.find(k) for k in range(len(sets))] == groups(len(sets), links)
     assert cell.compared < len(sets) ** 2 / 4
+    signed = J.Cell(J.Scheme(85), signatures=[J.signature(x) for x in sets])
+    signed.search()
+    assert all(signed.find(a) == signed.find(b) for a, b in links)  # signatures rule out no link
+    assert len({signed.find(k) for k in range(len(sets))}) > len(sets) / 6
+    central = J.Cell(J.Scheme(85), signatures=[J.signature(x) for x in sets])
+    central.meet(0)
+    assert all(central.find(a) == central.find(b) for a, b in links if 0 in (a, b))
 
 
 def test_long_texts_give_the_same_words():
