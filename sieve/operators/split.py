@@ -1,7 +1,7 @@
 """Splits, folds and samples. Orders are explicit or come from hashes, so that every run gives the same rows.
 
-Numbers inside a bucket come from windows partitioned by (source, y) or the like. Where a bucket may be huge and only sizes
-matter, ``hash_share`` splits by hash without any order.
+Places inside a bucket are counted by pieces of the order (``prefix.places``), so that no task sorts a whole class or
+source. Where only sizes matter, ``hash_share`` splits by hash without any order.
 """
 
 from __future__ import annotations
@@ -11,38 +11,53 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieve.operators.prefix import places, slice_of
+
+
+
+def _k() -> Column:
+    """A row's place in its group, from 1."""
+    return F.col("__k")
+
+
+def _n() -> Column:
+    """The size of a row's group."""
+    return F.col("__n")
+
+
+def _hashed(rows: DataFrame, key: str, seed: int | None, by: Sequence[str]) -> DataFrame:
+    """Places in order of a hash of the key, equal hashes by the key."""
+    digest = F.sha2(F.concat_ws(":", *([] if seed is None else [F.lit(str(seed))]), F.col(key).cast("string")), 256)
+    return places(rows.withColumn("__h", digest), by, ("__h", key)).drop("__h")
+
 
 def chronological_folds(rows: DataFrame, folds: int, order: Sequence[str], by: Sequence[str] = ("y",)) -> DataFrame:
     """fold 0 .. folds-1: equal slices in time for each class, larger ones first."""
-    return rows.withColumn("fold", F.ntile(folds).over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    return places(rows, by, order).withColumn("fold", slice_of(_k(), _n(), folds)).drop("__k", "__n")
 
 
 def source_label_folds(rows: DataFrame, folds: int, date: str, key: str) -> DataFrame:
     """Chronological inside each source and class; equal dates by the hash of the key."""
-    w = Window.partitionBy("source", "y").orderBy(F.col(date), F.sha2(F.col(key).cast("string"), 256))
-    return rows.withColumn("fold", F.ntile(folds).over(w) - 1)
+    marked = rows.withColumn("__h", F.sha2(F.col(key).cast("string"), 256))
+    return places(marked, ("source", "y"), (date, "__h")).withColumn("fold", slice_of(_k(), _n(), folds)).drop("__k", "__n", "__h")
 
 
 def chronological_halves(rows: DataFrame, order: Sequence[str], eras: int = 3) -> DataFrame:
     """half 'fit' for the first floor(n/2) rows of each class, 'gate' for the rest; eras of the rest, else null."""
-    w = Window.partitionBy("y").orderBy(*order)
-    n = F.count("*").over(Window.partitionBy("y"))
-    out = rows.withColumns({"__k": F.row_number().over(w), "__n": n})
-    out = out.withColumn("half", F.when(F.col("__k") <= F.floor(F.col("__n") / 2), "fit").otherwise("gate"))
-    tail = Window.partitionBy("y", "half").orderBy(*order)
-    return out.withColumn("era", F.when(F.col("half") == "gate", F.ntile(eras).over(tail) - 1)).drop("__k", "__n")
+    first = F.floor(_n() / 2)
+    out = places(rows, ("y",), order).withColumn("half", F.when(_k() <= first, "fit").otherwise("gate"))
+    return out.withColumn("era", F.when(F.col("half") == "gate", slice_of(_k() - first, _n() - first, eras))).drop("__k", "__n")
 
 
 def alternating_halves(rows: DataFrame, order: str, by: str = "source") -> DataFrame:
     """half 0 or 1 by turns inside each source."""
-    return rows.withColumn("half", (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) % 2)
+    return places(rows, (by,), (order,)).withColumn("half", ((_k() - 1) % 2).cast("int")).drop("__k", "__n")
 
 
 def recent_split(rows: DataFrame, order: Sequence[str], test: int, val: int) -> DataFrame:
     """For each class the last ``test`` rows are the test, those before them validation, the rest training."""
-    w = Window.partitionBy("y").orderBy(*(F.col(c).desc() for c in order))
-    k = F.row_number().over(w)
-    return rows.withColumn("split", F.when(k <= test, "test").when(k <= test + val, "val").otherwise("train"))
+    out = places(rows, ("y",), order, descending=True)
+    return out.withColumn("split", F.when(_k() <= test, "test").when(_k() <= test + val, "val").otherwise("train")).drop("__k", "__n")
 
 
 def planned_split(rows: DataFrame, plan: DataFrame, key: str) -> DataFrame:
@@ -50,11 +65,10 @@ def planned_split(rows: DataFrame, plan: DataFrame, key: str) -> DataFrame:
 
     The plan is a configuration table; places join it as a range within equal (source, y).
     """
-    w = Window.partitionBy("source", "y").orderBy(F.sha2(F.col(key).cast("string"), 256), F.col(key))
-    placed = rows.withColumn("__k", F.row_number().over(w))
+    placed = _hashed(rows, key, None, ("source", "y"))
     p = plan.select(F.col("source").alias("__s"), F.col("y").alias("__y"), "split", "first", "last")
-    on = (F.col("source") == F.col("__s")) & (F.col("y") == F.col("__y")) & F.col("__k").between(F.col("first"), F.col("last"))
-    return placed.join(F.broadcast(p), on).drop("__s", "__y", "__k", "first", "last")
+    on = (F.col("source") == F.col("__s")) & (F.col("y") == F.col("__y")) & _k().between(F.col("first"), F.col("last"))
+    return placed.join(F.broadcast(p), on).drop("__s", "__y", "__k", "__n", "first", "last")
 
 
 def plan_from_fractions(spark, sources: Sequence[tuple[str, int, int]], fractions: Sequence[tuple[str, float]]) -> DataFrame:
@@ -109,31 +123,24 @@ def hash_split(rows: DataFrame, key: str, seed: int, train: float, val: float) -
 def stratified_sample(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     """About ``most`` rows, classes in proportion (each rounded half up, at least 1), in order of hashes."""
     total = rows.agg(F.count("*").alias("__all"))
-    n = rows.groupBy("y").agg(F.count("*").alias("__n")).crossJoin(total)  # one row
-    want = F.greatest(F.lit(1), F.floor(F.col("__n") * most / F.col("__all") + 0.5))
-    w = Window.partitionBy("y").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256))
-    return rows.withColumn("__k", F.row_number().over(w)).join(F.broadcast(n), "y").filter(F.col("__k") <= want).drop("__k", "__n", "__all")
+    want = F.greatest(F.lit(1), F.floor(_n() * most / F.col("__all") + 0.5))
+    return _hashed(rows, key, seed, ("y",)).crossJoin(F.broadcast(total)).filter(_k() <= want).drop("__k", "__n", "__all")  # one row
 
 
 def meta_gate_split(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """For each (y, source) the first half in order of hashes, at least one row, is 'meta', the rest 'gate'."""
-    w = Window.partitionBy("y", "source").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256))
-    n = F.count("*").over(Window.partitionBy("y", "source"))
-    k = F.row_number().over(w)
-    return rows.withColumn("part", F.when(k <= F.greatest(F.lit(1), F.floor(n / 2)), "meta").otherwise("gate"))
+    out = _hashed(rows, key, seed, ("y", "source"))
+    return out.withColumn("part", F.when(_k() <= F.greatest(F.lit(1), F.floor(_n() / 2)), "meta").otherwise("gate")).drop("__k", "__n")
 
 
 def holdout(rows: DataFrame, key: str, seed: int, share: float = 0.1, least: int = 32) -> DataFrame:
     """held: for each class round(share * n) rows, at least ``least`` and at most n - 1, in order of hashes."""
-    w = Window.partitionBy("y").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256))
-    n = F.count("*").over(Window.partitionBy("y"))
-    size = F.least(n - 1, F.greatest(F.lit(least), F.floor(n * share + 0.5)))
-    return rows.withColumn("held", F.row_number().over(w) <= size)
+    size = F.least(_n() - 1, F.greatest(F.lit(least), F.floor(_n() * share + 0.5)))
+    return _hashed(rows, key, seed, ("y",)).withColumn("held", _k() <= size).drop("__k", "__n")
 
 
 def stratified_folds(rows: DataFrame, key: str, folds: int, seed: int) -> DataFrame:
-    w = Window.partitionBy("y").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256))
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(folds)))
+    return _hashed(rows, key, seed, ("y",)).withColumn("fold", F.pmod(_k() - 1, F.lit(folds)).cast("int")).drop("__k", "__n")
 
 
 def cap_per_bucket(rows: DataFrame, order: str, most: int, by: Sequence[str] = ("source", "y")) -> DataFrame:
@@ -155,13 +162,13 @@ def external_first(rows: DataFrame, external: Column, content: str, most: int) -
 def frozen_manifest(rows: DataFrame, split: str = "split", source: str = "source", ordinal: str = "idx") -> DataFrame:
     """ord and file name in each split, in order of the SHA-256 of source:ordinal."""
     digest = F.sha2(F.concat_ws(":", F.col(source), F.col(ordinal).cast("string")), 256)
-    k = F.row_number().over(Window.partitionBy(split).orderBy(digest)) - 1
-    return rows.withColumn("ord", k).withColumn("file", F.format_string("%s-%05d.eml", F.col(split), F.col("ord")))
+    out = places(rows.withColumn("__h", digest), (split,), ("__h", source, ordinal)).withColumn("ord", (_k() - 1).cast("int"))
+    return out.withColumn("file", F.format_string("%s-%05d.eml", F.col(split), F.col("ord"))).drop("__k", "__n", "__h")
 
 
 def hard_examples(rows: DataFrame, key: str, seed: int, spam: float = 0.72, ham: float = 0.38, least_spam: int = 1500, least_ham: int = 1200) -> DataFrame:
     """The hardest rows of each class (spam with low scores, ham with high ones), at least so many; ``hard`` marks them."""
-    rank = Window.partitionBy("y").orderBy(F.when(F.col("y") == 1, F.col("score")).otherwise(-F.col("score")), F.col(key))
-    n = F.count("*").over(Window.partitionBy("y"))
-    want = F.when(F.col("y") == 1, F.greatest(F.lit(least_spam), F.round(n * spam))).otherwise(F.greatest(F.lit(least_ham), F.round(n * ham)))
-    return rows.withColumn("hard", F.row_number().over(rank) <= want)
+    ranked = rows.withColumn("__s", F.when(F.col("y") == 1, F.col("score")).otherwise(-F.col("score")))
+    want = F.when(F.col("y") == 1, F.greatest(F.lit(least_spam), F.round(_n() * spam))).otherwise(F.greatest(F.lit(least_ham), F.round(_n() * ham)))
+    return places(ranked, ("y",), ("__s", key)).withColumn("hard", _k() <= want).drop("__k", "__n", "__s")
+
