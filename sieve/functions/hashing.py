@@ -1,4 +1,4 @@
-"""Hashes as JVM expressions. Characters are UTF-16 units; the expressions cover the basic plane, the UDFs all text."""
+"""Hashes as JVM expressions, and over whole batches of names. Characters are UTF-16 units, surrogate pairs included."""
 
 from __future__ import annotations
 
@@ -16,9 +16,14 @@ FNV64_OFFSET, FNV64_PRIME = 14695981039346656037, 1099511628211
 
 
 def _units(c: Column) -> Column:
-    """Character codes; empty for the empty string."""
-    codes = F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))
-    return F.when(F.length(c) > 0, F.filter(codes, lambda x: x > 0)).otherwise(F.array().cast("array<bigint>"))
+    """UTF-16 units; empty for the empty string. Letters beyond the basic plane are two, a high and a low surrogate."""
+    codes = F.filter(F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long")), lambda x: x > 0)
+    high = lambda x: F.shiftright(x - 0x10000, 10) + 0xD800
+    low = lambda x: (x - 0x10000).bitwiseAND(F.lit(0x3FF).cast("long")) + 0xDC00
+    units = F.flatten(F.transform(codes, lambda x: F.when(x > 0xFFFF, F.array(high(x), low(x))).otherwise(F.array(x))))
+    astral = F.octet_length(c) >= F.length(c) + 3  # a letter of four bytes adds three
+    some = F.when(astral, units).otherwise(codes)
+    return F.when(F.length(c) > 0, some).otherwise(F.array().cast("array<bigint>"))
 
 
 def fnv32(c: Column) -> Column:
@@ -41,16 +46,31 @@ def fnv64(c: Column) -> Column:
     return F.aggregate(_units(c), start, step, lambda s: F.shiftleft(s["hi"], 32).bitwiseOR(s["lo"]))
 
 
+def _fnv_all(values: list[str], offset: int, prime: int, kind: type) -> np.ndarray:
+    """FNV-1a of strings over UTF-16 units; strings of a length are hashed together, a unit at a time."""
+    raw = [v.encode("utf-16-le", "surrogatepass") for v in values]
+    sizes = np.array([len(r) // 2 for r in raw], dtype=np.int64)
+    out = np.full(len(raw), offset, dtype=kind)
+    order = np.argsort(sizes, kind="stable")
+    edges = np.flatnonzero(np.diff(sizes[order], prepend=-1))
+    for a, z in zip(edges, [*edges[1:], len(order)]):
+        own = order[a:z]
+        units = np.frombuffer(b"".join(raw[k] for k in own), dtype=np.uint16).reshape(len(own), -1)
+        h = out[own]
+        for k in range(units.shape[1]):
+            h = (h ^ units[:, k].astype(kind)) * kind(prime)
+        out[own] = h
+    return out
+
+
 def fnv64_all(values: list[str]) -> np.ndarray:
-    """FNV-1a-64 of strings over UTF-16 units, surrogate pairs included, as int64."""
-    out = np.empty(len(values), dtype=np.uint64)
-    for k, v in enumerate(values):
-        h = FNV64_OFFSET
-        units = np.frombuffer(v.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
-        for u in units.tolist():
-            h = ((h ^ u) * FNV64_PRIME) & 0xFFFFFFFFFFFFFFFF
-        out[k] = h
-    return out.view(np.int64)
+    """FNV-1a, 64 bits, of strings, as int64."""
+    return _fnv_all(values, FNV64_OFFSET, FNV64_PRIME, np.uint64).view(np.int64)
+
+
+def fnv32_all(values: list[str]) -> np.ndarray:
+    """FNV-1a, 32 bits, of strings, as uint32."""
+    return _fnv_all(values, FNV32_OFFSET, FNV32_PRIME, np.uint32)
 
 
 @F.pandas_udf(T.LongType())

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieve.functions import text as X
-from sieve.functions.hashing import feature_index
+from sieve.functions.hashing import fnv32_all
 from sieve.functions.numeric import clip
 
 # The caps of the hashed features, and the prefix of scanner features.
@@ -81,15 +82,50 @@ def message_features(scan: bool = False) -> Column:
     return F.concat(*parts)
 
 
+def _place(rows: np.ndarray, names: pa.Array, values: np.ndarray, dimension: int) -> tuple[np.ndarray, ...]:
+    """(row, idx, value, code of the label) and the distinct names, from occurrences in order."""
+    coded = names.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    known = coded.dictionary.to_pylist()
+    index = (fnv32_all(known) & np.uint32(0x7FFFFFFF & (dimension - 1))).astype(np.int64)
+    pairs, first, inverse = np.unique(rows * max(len(known), 1) + codes, return_index=True, return_inverse=True)
+    total = np.bincount(inverse, weights=values, minlength=len(pairs))
+    held = total != 0
+    row, code, first, total = rows[first[held]], codes[first[held]], first[held], total[held]
+    order = np.lexsort((first, index[code], row))
+    row, code, total = row[order], code[order], total[order]
+    at = row * dimension + index[code]
+    begins = np.flatnonzero(np.diff(at, prepend=-1))
+    sums = np.add.reduceat(total, begins) if len(begins) else total
+    return row[begins], index[code[begins]], sums, code[begins], coded.dictionary
+
+
 def hashed(rows: DataFrame, key: str, features: Column, dimension: int = 1 << 17) -> DataFrame:
-    """(key, idx, value, label): values summed by place, with the first name that fell there; zeros left out.
+    """(key, idx, value, label) of each row: values summed by place, with the first name that fell there; names whose
+    values cancel out are left out.
 
-    Distinct names are few against occurrences: they are counted by name first, and only names are hashed.
+    Places depend on their row alone: nothing is shuffled. Distinct names of a batch are hashed once.
     """
-    long = rows.select(F.col(key), F.posexplode(features).alias("ord", "f")).select(key, "ord", "f.name", "f.value")
-    named = long.groupBy(key, "name").agg(F.sum("value").alias("value"), F.min("ord").alias("ord"))
-    placed = named.withColumn("idx", feature_index(F.col("name"), dimension)).filter("value <> 0")
-    return placed.groupBy(key, "idx").agg(F.sum("value").alias("value"), F.min_by("name", "ord").alias("label"))
+    if dimension <= 1024 or dimension & (dimension - 1):
+        raise ValueError("the dimension must be a power of two above 1024")
+    base = rows.select(F.col(key).alias("key"), features.alias("features"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                lists = part.column(1)
+                counts = np.diff(lists.offsets.to_numpy())
+                flat = lists.flatten()
+                values = flat.field(1).to_numpy(zero_copy_only=False)
+                row, index, value, code, known = _place(np.repeat(np.arange(len(counts), dtype=np.int64), counts), flat.field(0), values, dimension)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row)), pa.array(index.astype(np.int32)), pa.array(value.astype(np.float64)), known.take(pa.array(code))],
+                    ["key", "idx", "value", "label"],
+                )
+
+    kind = base.schema["key"].dataType.simpleString()
+    return base.mapInArrow(run, f"key {kind}, idx int, value double, label string").withColumnRenamed("key", key)
 
 
 def dot(features: DataFrame, weights: DataFrame, key: str, bias: float = 0.0) -> DataFrame:
@@ -143,15 +179,15 @@ def document_frequencies(terms: DataFrame, key: str) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def tfidf(rows: DataFrame, key: str, text: Column, n: int = 1, min_df: int = 2, max_df: float = 0.997, most_terms: int = 180_000) -> DataFrame:
+def tfidf(rows: DataFrame, key: str, text: Column, n: int = 1, min_df: int = 2, max_df: float = 0.997, most_terms: int | None = 180_000) -> DataFrame:
     """(key, term, tfidf): 1 + ln(tf) times ln((1 + docs) / (1 + df)) + 1, L2-normalised over the vocabulary's terms.
 
-    The vocabulary is a bounded table (the most frequent terms, ties by term), so it can be broadcast.
+    The vocabulary is the most frequent terms, ties by term; None keeps all terms. Spark sorts a capped one by parts, so no task sees all terms.
     """
     counts = ngram_counts(rows, key, text, n)
     docs = rows.agg(F.count("*").alias("docs"))
     df = document_frequencies(counts, key).crossJoin(F.broadcast(docs)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs")))  # one row
-    vocabulary = df.orderBy(F.desc("df"), "term").limit(most_terms)  # the feature's own cap
+    vocabulary = df if most_terms is None else df.orderBy(F.desc("df"), "term").limit(most_terms)  # the feature's own cap
     idf = vocabulary.select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = counts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sieve.functions.hashing import fnv64, hamming
+from sieve.functions.hashing import fnv64_all, hamming
 from sieve.functions.text import TOKEN, fingerprint_text, tokens
 
 MOST_TOKENS = 8000
@@ -22,24 +25,47 @@ def content_key(*fields: Column, label: Column | None = None) -> Column:
     return F.sha2(F.concat_ws("\n", *([label.cast("string")] if label is not None else []), *clean), 256)
 
 
-def near_fingerprint(docs: DataFrame, key: str, text: Column, weighted: bool = False, most: int = MOST_TOKENS) -> DataFrame:
-    """(key, simhash): for each bit, the sign of the votes of a text's tokens; ties are 1, texts without tokens 0.
-
-    Texts are dealt out by their key once; tokens are counted by text and hashed once each, and the 64 votes are summed, where
-    the text is. With ``weighted`` a token votes by its count, at most 4.
-    """
-    dealt = docs.select(F.col(key), fingerprint_text(text).alias("__text")).repartition(key)
-    words = dealt.select(F.col(key), F.explode_outer(tokens(F.col("__text"), TOKEN, most)).alias("token"))
-    counts = words.groupBy(key, "token").agg(F.count("token").alias("n"))
+def _votes(codes: np.ndarray, rows: np.ndarray, hashes: np.ndarray, n_rows: int, weighted: bool) -> np.ndarray:
+    """For each row the signs of its tokens' votes; ``codes`` are places in ``hashes``."""
+    out = np.zeros(n_rows, dtype=np.uint64)
+    if not len(codes):
+        return out.view(np.int64)
+    pairs, counts = np.unique(rows * len(hashes) + codes, return_counts=True)
     if weighted:
-        counts = counts.withColumn("n", F.least(F.col("n"), F.lit(4)))
-    hashed = counts.withColumn("h", F.when(F.col("token").isNotNull(), fnv64(F.col("token"))))
-    votes = [F.sum(F.when(F.getbit(F.col("h"), F.lit(b)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"v{b}") for b in range(64)]
-    summed = hashed.groupBy(key).agg(F.count("h").alias("tokens"), *votes)
-    bits = F.lit(0).cast("long")
+        counts = np.minimum(counts, 4)
+    row, code = np.divmod(pairs, len(hashes))
+    begins = np.flatnonzero(np.diff(row, prepend=-1))
+    own, counts = hashes[code], counts.astype(np.int64)
+    bits = np.zeros(len(begins), dtype=np.uint64)
     for b in range(64):
-        bits = bits.bitwiseOR(F.when(F.col(f"v{b}") >= 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(0))
-    return summed.select(key, F.when(F.col("tokens") > 0, bits).otherwise(F.lit(0)).cast("long").alias("simhash"))
+        vote = np.where((own >> np.uint64(b)) & np.uint64(1), counts, -counts)
+        bits |= (np.add.reduceat(vote, begins) >= 0).astype(np.uint64) << np.uint64(b)
+    out[row[begins]] = bits
+    return out.view(np.int64)
+
+
+def simhash(words: Column, weighted: bool = False) -> Column:
+    """The near fingerprint of an array of tokens: for each bit, the sign of the tokens' votes; ties are 1, no tokens 0.
+
+    It depends on its row alone: nothing is shuffled. Distinct tokens of a batch are hashed once.
+    """
+
+    @F.pandas_udf(T.LongType())
+    def batch(lists: pd.Series) -> pd.Series:
+        out = np.empty(len(lists), dtype=np.int64)
+        for start in range(0, len(lists), 1024):
+            part = [x if x is not None else () for x in lists.iloc[start : start + 1024]]
+            rows = np.repeat(np.arange(len(part), dtype=np.int64), [len(x) for x in part])
+            codes, names = pd.factorize(np.concatenate([np.asarray(x, dtype=object) for x in part]) if len(rows) else np.empty(0, dtype=object))
+            out[start : start + len(part)] = _votes(codes, rows, fnv64_all(list(names)).view(np.uint64), len(part), weighted)
+        return pd.Series(out)
+
+    return batch(words)
+
+
+def near_fingerprint(docs: DataFrame, key: str, text: Column, weighted: bool = False, most: int = MOST_TOKENS) -> DataFrame:
+    """(key, simhash) of each row, by the tokens of its normalised text. With ``weighted`` a token votes by its count, at most 4."""
+    return docs.select(F.col(key), simhash(tokens(fingerprint_text(text), TOKEN, most), weighted).alias("simhash"))
 
 
 def bands(hashes: DataFrame, column: str = "simhash", parts: int = 4) -> DataFrame:

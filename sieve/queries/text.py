@@ -12,8 +12,10 @@ from sieve.queries.base import MESSAGES_SQL, messages, query, table
 
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), 'https?://\S+', ' <url> ', 'g'), '\b\d{{2,}}\b', ' <num> ', 'g'), '\s+', ' ', 'g'))"
 TOKENS = r"regexp_extract_all({c}, '[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}_\-.@]{{1,48}}')"
-FNV32 = "list_reduce(list_transform(string_split({c}, ''), lambda x: unicode(x)::BIGINT), lambda h, u: ((xor(h, u) * 16777619) & 4294967295), 2166136261::BIGINT)"
-FNV64 = "list_reduce(list_transform(string_split({c}, ''), lambda x: unicode(x)::HUGEINT), lambda h, u: (xor(h, u) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT)"
+# UTF-16 units of a string
+UNITS = "flatten(list_transform(string_split({c}, ''), lambda x: CASE WHEN unicode(x) > 65535 THEN [55296 + ((unicode(x) - 65536) >> 10), 56320 + ((unicode(x) - 65536) & 1023)] ELSE [unicode(x)] END))"
+FNV32 = "list_reduce(list_transform(" + UNITS + ", lambda x: x::BIGINT), lambda h, u: ((xor(h, u) * 16777619) & 4294967295), 2166136261::BIGINT)"
+FNV64 = "list_reduce(list_transform(" + UNITS + ", lambda x: x::HUGEINT), lambda h, u: (xor(h, u) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT)"
 SIGNED = "(CASE WHEN {h} >= 9223372036854775808 THEN {h} - 18446744073709551616 ELSE {h} END)::BIGINT"
 
 
@@ -41,15 +43,20 @@ def fnv64_token_hash(spark, sf_dir):
     return d.select("token", H.fnv64(F.col("token")).alias("h"))
 
 
-SIMHASH = f"""
-toks AS (SELECT doc_id, unnest(list_slice({TOKENS.format(c=NORM.format(c='text'))}, 1, 8000)) AS token FROM documents),
-counted AS (SELECT doc_id, token, count(*) AS n FROM toks GROUP BY ALL),
-hashes AS (SELECT token, {FNV64.format(c='token')} AS h FROM (SELECT DISTINCT token FROM counted)),
-votes AS (
-  SELECT doc_id, b, sum(CASE WHEN (h // (2::HUGEINT ** b)::HUGEINT) % 2 = 1 THEN n ELSE -n END) AS v
-  FROM counted JOIN hashes USING (token), range(64) r(b) GROUP BY ALL),
-bits AS (SELECT doc_id, sum(CASE WHEN v >= 0 THEN (2::HUGEINT ** b)::HUGEINT ELSE 0 END)::HUGEINT AS h FROM votes GROUP BY doc_id),
-simhashes AS (SELECT d.doc_id, coalesce({SIGNED.format(h='h')}, 0)::BIGINT AS simhash FROM documents d LEFT JOIN bits USING (doc_id))"""
+def simhash_sql(name: str, rows: str = "documents", key: str = "doc_id", most: int = 8000, weight: str = "n") -> str:
+    """A common table expression ``name`` (key, simhash) for a table with a text; ``weight`` is a token's votes by its count n."""
+    return f"""
+{name}_toks AS (SELECT {key}, unnest(list_slice({TOKENS.format(c=NORM.format(c='text'))}, 1, {most})) AS token FROM {rows}),
+{name}_counted AS (SELECT {key}, token, {weight} AS n FROM (SELECT {key}, token, count(*) AS n FROM {name}_toks GROUP BY ALL)),
+{name}_hashes AS (SELECT token, {FNV64.format(c='token')} AS h FROM (SELECT DISTINCT token FROM {name}_counted)),
+{name}_votes AS (
+  SELECT {key}, b, sum(CASE WHEN (h // (2::HUGEINT ** b)::HUGEINT) % 2 = 1 THEN n ELSE -n END) AS v
+  FROM {name}_counted JOIN {name}_hashes USING (token), range(64) r(b) GROUP BY ALL),
+{name}_bits AS (SELECT {key}, sum(CASE WHEN v >= 0 THEN (2::HUGEINT ** b)::HUGEINT ELSE 0 END)::HUGEINT AS h FROM {name}_votes GROUP BY {key}),
+{name} AS (SELECT d.{key}, coalesce({SIGNED.format(h='h')}, 0)::BIGINT AS simhash FROM {rows} d LEFT JOIN {name}_bits USING ({key}))"""
+
+
+SIMHASH = simhash_sql("simhashes")
 
 
 @query("simhash64", f"WITH {SIMHASH} SELECT doc_id, simhash FROM simhashes")
@@ -57,12 +64,17 @@ def simhash64(spark, sf_dir):
     return fingerprint.near_fingerprint(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
-@query("simhash64_weighted")
+@query("simhash64_weighted", f"WITH {simhash_sql('simhashes', most=600, weight='least(n, 4)')} SELECT doc_id, simhash FROM simhashes")
 def simhash64_weighted(spark, sf_dir):
     return fingerprint.near_fingerprint(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), weighted=True, most=600)
 
 
-@query("near_duplicate_pairs")
+@query(
+    "near_duplicate_pairs",
+    f"""WITH {SIMHASH}, firsts AS (SELECT simhash AS h, min(doc_id) AS a FROM simhashes GROUP BY simhash)
+SELECT a, doc_id AS b, 0 AS distance FROM simhashes JOIN firsts ON simhash = h WHERE doc_id <> a UNION ALL
+SELECT least(x.a, y.a), greatest(x.a, y.a), bit_count(xor(x.h, y.h))::INT FROM firsts x JOIN firsts y ON x.h < y.h AND bit_count(xor(x.h, y.h)) <= 2""",
+)
 def near_duplicate_pairs(spark, sf_dir):
     return fingerprint.near_copies(simhash64(spark, sf_dir), "doc_id", 2)
 
@@ -120,26 +132,36 @@ def normalised_identity(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(c, 256).alias("identity"))
 
 
-@query(
-    "train_test_leakage",
-    f"""WITH d AS (SELECT doc_id, lang, sha256({NORM.format(c='text')}) AS e FROM documents), t AS (SELECT DISTINCT e FROM d WHERE lang = 'en' AND doc_id % 2 = 0)
-SELECT count(*) AS rows, count(t.e) AS exact_leaks FROM d LEFT JOIN t USING (e) WHERE d.doc_id % 2 = 1""",
-)
+def leaks_sql(rows: str, index: str) -> str:
+    """One row of counts from tables of (key, e, simhash)."""
+    near = f"EXISTS (SELECT 1 FROM (SELECT DISTINCT simhash FROM {index}) i WHERE bit_count(xor(i.simhash, r.simhash)) <= 2)"
+    return f"""marks AS (SELECT r.simhash, r.e IN (SELECT e FROM {index}) AS exact FROM {rows} r),
+near AS (SELECT simhash, {near} AS near FROM (SELECT DISTINCT simhash FROM {rows}) r)
+SELECT count(*) AS rows, count(*) FILTER (exact) AS exact_leaks, count(*) FILTER (NOT exact AND near) AS near_leaks FROM marks JOIN near USING (simhash)"""
+
+
+def _marked(rows, key):
+    """Rows with exact and near fingerprints of their texts."""
+    return rows.select(key, fingerprint.exact_fingerprint(F.col("text")).alias("exact"), fingerprint.simhash(X.tokens(X.fingerprint_text(F.col("text")), most=8000)).alias("simhash"))
+
+
+MARKED = f"marked AS (SELECT d.doc_id, sha256({NORM.format(c='text')}) AS e, simhash, substr(md5(d.doc_id::VARCHAR), 1, 1) < '8' AS test FROM documents d JOIN simhashes USING (doc_id))"
+
+
+@query("train_test_leakage", f"WITH {SIMHASH}, {MARKED}, train AS (SELECT * FROM marked WHERE NOT test), tests AS (SELECT * FROM marked WHERE test), {leaks_sql('train', 'tests')}")
 def train_test_leakage(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("exact", fingerprint.exact_fingerprint(F.col("text")))
-    test, train = d.filter("doc_id % 2 = 0 AND lang = 'en'"), d.filter("doc_id % 2 = 1")  # the two sides of a split
-    leaks = leakage.exact_leaks(train, test).agg(F.count("*").alias("exact_leaks"))
-    return train.agg(F.count("*").alias("rows")).crossJoin(leaks)
+    """Every document is on one side of a split by hash."""
+    d = _marked(table(spark, sf_dir, "documents"), "doc_id").withColumn("test", F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8")
+    return leakage.leak_counts(d.filter("NOT test"), d.filter("test"), "doc_id")
 
 
-@query("leakage_against_benchmark")
+@query(
+    "leakage_against_benchmark",
+    f"""WITH {SIMHASH}, {simhash_sql('items', 'benchmark', 'item_id')}, docs AS (SELECT doc_id, sha256({NORM.format(c='text')}) AS e, simhash FROM documents JOIN simhashes USING (doc_id)),
+bench AS (SELECT sha256({NORM.format(c='text')}) AS e, simhash FROM benchmark JOIN items USING (item_id)), {leaks_sql('docs', 'bench')}""",
+)
 def leakage_against_benchmark(spark, sf_dir):
-    def marked(rows, key):
-        return rows.join(fingerprint.near_fingerprint(rows, key, F.col("text")), key).withColumn("exact", fingerprint.exact_fingerprint(F.col("text")))
-
-    docs = marked(table(spark, sf_dir, "documents"), "doc_id")
-    bench = marked(table(spark, sf_dir, "benchmark"), "item_id")
-    return leakage.leak_counts(docs, bench, "doc_id")
+    return leakage.leak_counts(_marked(table(spark, sf_dir, "documents"), "doc_id"), _marked(table(spark, sf_dir, "benchmark"), "item_id"), "doc_id")
 
 
 @query(
@@ -219,10 +241,10 @@ def normalise_category(spark, sf_dir):
 
 @query(
     "normalise_subject",
-    r"SELECT doc_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(substr(text, 1, 300)), 'https?://\S+', ' urltoken ', 'g'), '\b[0-9a-f]{8,}\b', ' hextoken ', 'g'), '\d+', ' num ', 'g'), '[^\p{L}\p{N}\s]+', ' ', 'g'), '\s+', ' ', 'g')), 1, 240) AS subject FROM documents",
+    r"SELECT doc_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+', ' urltoken ', 'g'), '\b[0-9a-f]{8,}\b', ' hextoken ', 'g'), '\d+', ' num ', 'g'), '[^\p{L}\p{N}\s]+', ' ', 'g'), '\s+', ' ', 'g')), 1, 240) AS subject FROM documents",
 )
 def normalise_subject(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.normalise_subject(F.substring("text", 1, 300)).alias("subject"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.normalise_subject(F.col("text")).alias("subject"))
 
 
 @query("stable_clean", r"SELECT doc_id, substr(trim(regexp_replace(regexp_replace(text, '[\r\n\x00]', ' ', 'g'), '\s+', ' ', 'g')), 1, 1000) AS text FROM documents")
@@ -276,32 +298,36 @@ def token_counts(spark, sf_dir):
 @query(
     "token_bigrams",
     f"""WITH t AS (SELECT doc_id, {TOKENS.format(c='lower(text)')} AS w FROM documents), b AS (SELECT doc_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || '_' || p[2])) AS bigram FROM t WHERE len(w) > 1)
-SELECT bigram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM b GROUP BY bigram HAVING count(*) >= 5""",
+SELECT bigram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM b GROUP BY bigram""",
 )
 def token_bigrams(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.bigrams(X.tokens(F.col("text")))).alias("bigram"))
     per = d.groupBy("bigram", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("bigram").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).filter("n >= 5")
+    return per.groupBy("bigram").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
 WORDS2 = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_@.\-]{2,}')"
 
 
-@query("ngram_counts", f"WITH t AS (SELECT doc_id, unnest({WORDS2}) AS term FROM documents) SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL")
+# words and pairs of neighbours
+PAIRS2 = "list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2]) ELSE [] END)"
+
+
+@query("ngram_counts", f"WITH t AS (SELECT doc_id, unnest({PAIRS2}) AS term FROM (SELECT doc_id, {WORDS2} AS w FROM documents)) SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL")
 def ngram_counts(spark, sf_dir):
-    return FE.ngram_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), 1)
+    return FE.ngram_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), 2)
 
 
 @query(
     "tfidf",
-    f"""WITH t AS (SELECT doc_id, unnest({WORDS2}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+    f"""WITH t AS (SELECT doc_id, unnest({PAIRS2}) AS term FROM (SELECT doc_id, {WORDS2} AS w FROM documents)), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
 n AS (SELECT count(*)::DOUBLE AS docs FROM documents), f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
 i AS (SELECT term, ln((1 + docs) / (1 + df)) + 1 AS idf FROM f, n WHERE df >= 2 AND df <= 0.997 * docs),
 w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM c JOIN i USING (term)), z AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM w GROUP BY doc_id)
 SELECT doc_id, term, round(w / z, 6) AS tfidf FROM w JOIN z USING (doc_id)""",
 )
 def tfidf(spark, sf_dir):
-    t = FE.tfidf(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), most_terms=10_000_000)
+    t = FE.tfidf(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), n=2, most_terms=None)
     return t.select("doc_id", "term", F.round("tfidf", 6).alias("tfidf"))
 
 
@@ -334,9 +360,19 @@ def feature_dot_score(spark, sf_dir):
     return FE.dot(_hashed(spark, sf_dir), F.broadcast(_weights(spark)), "doc_id", -0.4).select("doc_id", F.round("margin", 4).alias("margin"))
 
 
-@query("top_contributions")
+@query(
+    "top_contributions",
+    f"""WITH lists AS (SELECT doc_id, list_concat(list_transform(w, lambda t: 'body:tok:' || t), CASE WHEN len(w) > 1 THEN list_transform(list_slice(list_zip(w[:-2], w[2:]), 1, 1600), lambda p: 'body:bi:' || p[1] || '_' || p[2]) ELSE [] END) AS names
+FROM (SELECT doc_id, list_slice({TOKENS.format(c='lower(text)')}, 1, 5000) AS w FROM documents)),
+o AS (SELECT doc_id, unnest(names) AS name, generate_subscripts(names, 1) AS ord FROM lists), c AS (SELECT doc_id, name, count(*) AS n, min(ord) AS ord FROM o GROUP BY ALL),
+h AS (SELECT name, {INDEX} AS idx FROM (SELECT DISTINCT name FROM c)), g AS (SELECT doc_id, idx, sum(n)::DOUBLE * ({W_SQL}) AS c, arg_min(name, ord) AS feature FROM c JOIN h USING (name) GROUP BY doc_id, idx),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(c) DESC, feature) AS place FROM g WHERE c <> 0)
+SELECT doc_id, place::INT AS place, feature, round(c, 6) AS contribution FROM r WHERE place <= 8""",
+)
 def top_contributions(spark, sf_dir):
-    return FE.top_contributions(_hashed(spark, sf_dir), F.broadcast(_weights(spark)), "doc_id", 8)
+    top = FE.top_contributions(_hashed(spark, sf_dir), F.broadcast(_weights(spark)), "doc_id", 8)
+    out = top.select("doc_id", F.posexplode("explanations").alias("p", "e"))
+    return out.select("doc_id", (F.col("p") + 1).alias("place"), "e.feature", F.round("e.contribution", 6).alias("contribution"))
 
 
 @query(
@@ -361,7 +397,12 @@ def cue_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *X.cue_flags(F.col("text")))
 
 
-@query("char_ngrams")
+@query(
+    "char_ngrams",
+    r"""WITH w AS (SELECT unnest(list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM documents),
+c AS (SELECT ' ' || w || ' ' AS p, count(*) AS n FROM w GROUP BY w), g AS (SELECT unnest(flatten(list_transform([3, 4, 5], lambda k: list_transform(range(1, greatest(length(p) - k + 2, 1)), lambda i: substr(p, i, k))))) AS gram, n FROM c)
+SELECT gram, sum(n)::BIGINT AS n FROM g GROUP BY gram""",
+)
 def char_ngrams(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(FE.char_wb_ngrams(F.col("text"))).alias("gram"))
     return d.groupBy("gram").agg(F.count("*").alias("n"))

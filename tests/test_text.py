@@ -149,3 +149,34 @@ def test_numbers(spark):
 def test_bigrams_of_short_texts(spark):
     df = spark.createDataFrame([("",), ("one",), ("one two",)], "t string")
     assert [r[0] for r in df.select(X.bigrams(X.tokens(F.col("t")))).collect()] == [[], [], ["one_two"]]
+
+
+def test_hashes_read_utf16_units(spark):
+    words = ["a𐐀b", "b", "𝒳b", "", "żółw", "日本𠮷語"]
+
+    def slow(word, h, prime, bits):
+        for unit in memoryview(word.encode("utf-16-le")).cast("H"):
+            h = ((h ^ unit) * prime) & ((1 << bits) - 1)
+        return h
+
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", H.fnv32(F.col("w")).alias("a"), H.fnv64(F.col("w")).alias("b")).collect()
+    for r in rows:
+        short, long = slow(r["w"], H.FNV32_OFFSET, H.FNV32_PRIME, 32), slow(r["w"], H.FNV64_OFFSET, H.FNV64_PRIME, 64)
+        assert (r["a"], r["b"] & (2**64 - 1)) == (short, long)
+        assert (int(H.fnv32_all([r["w"]])[0]), int(H.fnv64_all([r["w"]])[0]) & (2**64 - 1)) == (short, long)
+
+
+def test_simhash_by_hand(spark):
+    texts = ["alpha beta alpha 𐐀x𐐀", "", None, "one " * 3000 + "two", "one " * 3000 + "two"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for weighted in (False, True):
+        got = {r["k"]: r["simhash"] for r in fingerprint.near_fingerprint(df, "k", F.col("t"), weighted).collect()}
+        words = df.select("k", X.tokens(X.fingerprint_text(F.col("t"))).alias("w")).collect()
+        for r in words:
+            votes = [0] * 64
+            for w in set(r["w"] or ()):
+                n = min(r["w"].count(w), 4) if weighted else r["w"].count(w)
+                h = int(H.fnv64_all([w])[0]) & (2**64 - 1)
+                votes = [v + (n if h >> b & 1 else -n) for b, v in enumerate(votes)]
+            want = sum(1 << b for b in range(64) if votes[b] >= 0) if r["w"] else 0
+            assert got[r["k"]] & (2**64 - 1) == want
