@@ -188,7 +188,7 @@ def subject_of_raw(raw: Column) -> Column:
     """The first subject in the first 80 lines, at most 160 characters."""
     lines = F.slice(F.split(raw, "\n"), 1, 80)
     first = F.try_element_at(F.filter(lines, lambda x: F.lower(F.ltrim(x)).startswith("subject:")), F.lit(1))
-    return F.coalesce(F.substring(F.trim(F.regexp_replace(first, r"(?i)^\s*subject:", "")), 1, 160), F.lit(""))
+    return F.coalesce(F.substring(F.regexp_replace(first, r"(?i)^\s*subject:\s*|\s+$", ""), 1, 160), F.lit(""))
 
 
 def mask_envelope(c: Column, sender: Column, receiver: Column) -> Column:

@@ -110,6 +110,14 @@ def health(scans: DataFrame, scan: str = "scan") -> DataFrame:
     )
 
 
+def histograms(scans: DataFrame, scan: str = "scan", most: int = 25) -> DataFrame:
+    """(kind, name, n): how often each action occurs, trimmed and in lower case, and the ``most`` most frequent symbols, ties by name."""
+    s = F.col(scan)
+    actions = scans.groupBy(F.lower(F.trim(s["action"])).alias("name")).agg(F.count("*").alias("n")).select(F.lit("action").alias("kind"), "name", "n")
+    symbols = scans.select(F.explode(F.transform(s["symbols"], lambda x: x["name"])).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return actions.unionByName(symbols.orderBy(F.desc("n"), "name").limit(most).select(F.lit("symbol").alias("kind"), "name", "n"))
+
+
 def require_healthy(scans: DataFrame, scan: str = "scan") -> dict:
     """The health of a batch as a dict; raises if it is empty, all its scores are 0, or no scan has Bayes symbols."""
     row = health(scans, scan).first().asDict()

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sieve.queries.base import query, table
-from sieve.streaming.scoring import dedupe_stream, run_to_memory, windowed_counts
+from sieve.scratch import fresh_path
+from sieve.streaming.scoring import dedupe_stream, run_to_files, windowed_counts
 
 
 def _stream(spark, sf_dir):
@@ -18,10 +17,10 @@ def _stream(spark, sf_dir):
 @query("stream_dedupe", "SELECT DISTINCT event_id, user_id, event_type FROM events")
 def stream_dedupe(spark, sf_dir):
     out = dedupe_stream(_stream(spark, sf_dir), "event_id", "ts").select("event_id", "user_id", "event_type")
-    return run_to_memory(out, f"dedupe_{uuid.uuid4().hex[:8]}")
+    return run_to_files(out, fresh_path(spark, "deduped"))
 
 
 @query("stream_hourly_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_hourly_counts(spark, sf_dir):
     out = windowed_counts(_stream(spark, sf_dir), "ts", "event_type")
-    return run_to_memory(out, f"hours_{uuid.uuid4().hex[:8]}", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return run_to_files(out, fresh_path(spark, "hours"), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

@@ -427,7 +427,14 @@ def vector_pair_cosine(spark, sf_dir):
     return e.join(b, "vec_id").select("vec_id", F.round(FE.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
-@query("parsed_messages")
+BODY = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[\t ]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    "parsed_messages",
+    f"""SELECT doc_id, lang AS subject, source || '@example.com' AS "from", sha256({BODY}) AS text, len(regexp_extract_all({BODY}, '(?i)https?://[^\\s<>''"]+'))::INT AS url_count,
+octet_length(encode(concat_ws(chr(13) || chr(10), 'From: ' || source || '@example.com', 'To: to@example.org', 'Subject: ' || lang, 'Content-Type: text/plain; charset=utf-8', '', coalesce(text, ''))))::INT AS raw_length FROM documents""",
+)
 def parsed_messages(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     raw = mime.render_message(F.concat("source", F.lit("@example.com")), F.lit("to@example.org"), F.col("lang"), F.col("text"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,5 +115,33 @@ def load_weights(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataF
     return settings, spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/fingerprints")
 
 
+def parse_model(raw: bytes, dimension: int | None = None) -> tuple[dict, np.ndarray, list[str], np.ndarray]:
+    """(settings, weights, exact fingerprints, near fingerprints) of a single-file model; another magic, version, dimension or
+    length raises."""
+    from sieve.sources.sinks import MAGIC, VERSION
+
+    head = struct.calcsize("<8siiddd")
+    if len(raw) < head or raw[:8] != MAGIC:
+        raise ValueError("not a model file")
+    _, version, size, bias, spam, ham = struct.unpack_from("<8siiddd", raw)
+    if version != VERSION:
+        raise ValueError(f"model version {version}, expected {VERSION}")
+    if dimension is not None and size != dimension:
+        raise ValueError(f"model dimension {size}, expected {dimension}")
+    try:
+        weights = np.frombuffer(raw, "<f4", size, head)
+        at = head + 4 * size
+        (n,) = struct.unpack_from("<i", raw, at)
+        exact = [raw[at + 4 + 32 * k : at + 36 + 32 * k].hex() for k in range(n)]
+        at += 4 + 32 * n
+        (n,) = struct.unpack_from("<i", raw, at)
+        near = np.frombuffer(raw, "<i8", n, at + 4)
+    except (struct.error, ValueError) as e:
+        raise ValueError("the model file is cut off") from e
+    if at + 4 + 8 * n != len(raw):
+        raise ValueError("the model file is too long")
+    return {"dimension": size, "bias": bias, "spam_threshold": spam, "ham_threshold": ham}, weights, exact, near
+
+
 def corpus_dedupe(rows: DataFrame, key: str, order: str) -> DataFrame:
     return keep_first(rows, key, order)

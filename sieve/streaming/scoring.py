@@ -29,9 +29,12 @@ def score_stream(messages: DataFrame, score: Callable[[DataFrame], DataFrame], p
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """For tests: all available input through a stream into a memory table."""
-    spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def run_to_files(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """All available input through a stream into Parquet files below a path, read back; nothing passes the driver."""
+    out = f"{path}/rows"
+    if mode == "append":
+        writer = stream.writeStream.format("parquet").option("path", out)
+    else:  # each batch holds the whole result
+        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)

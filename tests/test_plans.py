@@ -102,6 +102,28 @@ def test_writers(spark, tmp_path):
     assert "| 50.000% | — |" in sinks.report_markdown("T", [{"a": 0.5, "b": None}])
 
 
+def test_single_file_model(spark):
+    w = spark.createDataFrame([(3, 0.5), (2047, -1.25)], "idx int, w double")
+    prints = spark.createDataFrame([("ab" * 32, 7), ("cd" * 32, -9)], "exact string, simhash long")
+    raw = sinks.model_bytes(w, 2048, 0.1, 0.8, 0.2, prints, prints)
+    settings, weights_, exact, near = readers.parse_model(raw, 2048)
+    assert settings == {"dimension": 2048, "bias": 0.1, "spam_threshold": 0.8, "ham_threshold": 0.2}
+    assert (weights_[3], weights_[2047], weights_.sum()) == (0.5, -1.25, -0.75) and exact == ["ab" * 32, "cd" * 32] and near.tolist() == [-9, 7]
+    for bad in (b"", b"XX" + raw[2:], raw[:8] + b"\2" + raw[9:], raw[:-1], raw + b"x", raw[:60]):
+        with pytest.raises(ValueError):
+            readers.parse_model(bad, 2048)
+    with pytest.raises(ValueError):
+        readers.parse_model(raw, 4096)
+    with pytest.raises(ValueError):
+        sinks.model_bytes(w, 100, 0.0, 0.8, 0.2, prints, prints)
+
+
+def test_message_files_stay_below_their_folder(spark, tmp_path):
+    for name in ("../x.eml", "/x.eml", "a/../../x.eml"):
+        with pytest.raises(Exception):
+            sinks.write_messages(spark.createDataFrame([(name, bytearray(b"x"))], "file string, raw binary"), "file://" + str(tmp_path)).collect()
+
+
 def test_report(spark):
     rows = spark.createDataFrame([(k, "ab"[k % 2], int(k > 60), k / 100, False) for k in range(100)], "msg_id long, source string, y int, score double, base_flag boolean")
     text, table = evaluation.report(rows, 0.0)
@@ -130,7 +152,7 @@ def test_experts_and_stack(spark):
 def test_streams(spark, tmp_path):
     schema = spark.read.parquet(f"{SF}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(SF)
-    assert streaming.run_to_memory(streaming.dedupe_stream(stream, "event_type", "ts").select("event_type"), "once").count() == 5
+    assert streaming.run_to_files(streaming.dedupe_stream(stream, "event_type", "ts").select("event_type"), str(tmp_path / "once")).count() == 5
     query = streaming.score_stream(stream, lambda b: b.groupBy("event_type").count(), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("count")).first()[0] == 1000
