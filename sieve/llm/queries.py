@@ -78,7 +78,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), F.round(F.array_max(F.transform("spans", lambda s: s["score"])), 6).alias("best_score"),
+    )
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -198,12 +199,42 @@ def test_added_spans(spark):
     assert pii.added_spans("part DE00 3704 0044 0532 0130 00") == []
     assert [s[2] for s in pii.added_spans("my social security number 123-45-6789")] == ["id"] and pii.added_spans("serial 123-45-6789") == []
     rows = spark.createDataFrame([(1, "mail a@b.cc", "x"), (2, None, "x"), (None, "", "x"), (3, "1" * 200_000 + " " + "a" * 200_000 + "@", "x")], "doc_id long, text string, spans string")
-    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find_pii(rows).collect()}
+    got = {r["doc_id"]: [tuple(s)[:3] for s in r["spans"]] for r in pii.find_pii(rows).collect()}
     assert got == {1: [("email", 5, 11)], 2: [], None: [], 3: []}
     assert {r["text"] for r in pii.redact(rows.filter("doc_id < 3"), threshold=0.6).collect()} == {"mail [email]", None}
     assert pii.find_pii(rows.limit(0)).count() == 0
 
 
+def test_secrets_and_scores():
+    value = hashlib.sha1(b"x").hexdigest()
+    assert [s[:3] for s in pii.added_spans(f'token = "{value}" and so on')] == [(9, 49, "secret")]
+    assert pii.added_spans(f"the text says {value} and no more") == [] and pii.added_spans(f"commit {value} token") == []
+    assert pii.added_spans("password: " + "a" * 40) == [] and pii.added_spans("key " + "internationalisation-und-Verstaendigung/en") == []
+    assert [s[2] for s in pii.added_spans("AKIA" + "ABCDEFGH12345678")] == ["secret"]
+    block = "-----BEGIN RSA PRIVATE KEY-----\n" + value * 3 + "\n-----END RSA PRIVATE KEY-----"
+    assert [s[:3] for s in pii.added_spans("x " + block)] == [(2, 2 + len(block), "secret")]
+    plain, near = pii.scored_spans("see 10.1.2.3 there")[0], pii.scored_spans("the host 10.1.2.3 there")[0]
+    far = pii.scored_spans("version 10.1.2.3 there")[0]
+    assert far[3] < plain[3] < near[3] and far[2] == "ip"  # a base span stays whatever its score
+
+
+def test_pii_query_by_brute_force(spark, tmp_path):
+    from sieve.llm.queries import op7_pii
+
+    value = hashlib.sha1(b"y").hexdigest()
+    texts = ["a@b.cc 1.2.3.4 +1 (234) 555-1234", None, "", f"é𝒳 token: {value} x@y.zz", "4111 1111 1111 1111 " * 3, "none here", "1.1.1.1.1 300.1.1.1 " + "z " * 50_000 + "q@r.st"]
+    spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op7_pii(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts):
+        base = plain_base(text or "")
+        added = [(m.start(1), m.end(1), "secret") for m in re.finditer(r"token: ([0-9a-f]{40})", text or "")]
+        every = sorted(base + added, key=lambda s: (s[0], pii.KINDS.index(s[2]), s[1]))
+        line = lambda spans: ",".join(f"{c}:{a}:{b}" for a, b, c in spans)
+        assert got[k]["spans"] == line(every) and got[k]["base_sha256"] == hashlib.sha256(line(base).encode()).hexdigest()
+        assert [got[k][f"n_{c}"] for c in pii.KINDS[:4]] == [sum(s[2] == c for s in base) for c in pii.KINDS[:4]] and got[k]["n_spans"] == len(every)
+
+
 # -- quality
 def test_quality(spark):
     rng = random.Random(5)
