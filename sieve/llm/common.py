@@ -5,32 +5,21 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieve.scratch import fresh_path
 from sieve.ship import ship  # noqa: F401  (operators take it from here)
 
 # The white space that separates words in every contract here.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(spark, "_sieve_shared", None) or "file://" + tempfile.mkdtemp(prefix="sieve-shared-")
-        spark._sieve_shared = found
-    return found.rstrip("/")
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lost executors then re-read, never recompute another answer."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sieve-{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
