@@ -3,14 +3,17 @@
 1. Equal vectors (label and components) are one node with a count.
 2. Nodes are dealt to home shards by the nearest of some sampled nodes, round by round, until shards are small. In each
    shard, balls form around leaders: a node joins the first leader that it links to.
-3. Leaders are dealt to overlapping shards: the nearest sampled leader and all that are nearly as near. In each shard
-   robust pruning makes a graph; a leader's adjacency lists from its shards are united.
+3. Leaders are dealt to overlapping shards: the nearest sampled leader and the next ones that are nearly as near, at most
+   ``OVERLAP`` in a round, whatever the width of the vectors. In each shard robust pruning makes a graph; a leader's adjacency lists from its
+   shards are united.
 4. Each leader is searched for in its home shard: greedily from the shard's medoid (and the leader itself), then
    expanding every node in range, which allows for the radius of both balls.
 5. An audit compares up to ``audit`` leaders' results with all leaders; if recall is below ``least_recall`` the
    search is repeated with a wider beam, at last over all shard members.
 6. Pairs of balls in range are verified member by member in double precision, in blocks of bounded size, so a huge ball is
    many tasks. Only verified links count.
+7. The links themselves are audited: those of some vectors, more of them until enough links are seen, are counted by brute
+   force. If recall is below ``least_links``, all pairs of leaders of a label are compared in blocks, which is exact.
 
 The work is linear but for step 6, which looks at pairs of members of balls that are near each other, that is of groups of near
 copies; nothing lists those pairs, they are counted inside the tasks.
@@ -37,6 +40,7 @@ from sieve.llm.components import components
 
 SHARD, FAN, BALL_BLOCK = 2048, 32, 1024
 DEGREE, CANDIDATES, ALPHA = 16, 40, 1.2
+OVERLAP, SEEN_LINKS, MOST_SAMPLED = 3, 50, 2048
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -100,9 +104,12 @@ def _assign(margin: float | None):
                 if margin is None:
                     row, col = np.arange(len(nearest)), nearest
                 else:
-                    second = np.partition(angle, 1, axis=1)[:, 1]
-                    limit = np.maximum(angle.min(axis=1) + margin, second)
-                    row, col = np.nonzero(angle <= limit[:, None])
+                    top = min(OVERLAP, len(ready))
+                    near = np.argsort(angle, axis=1, kind="stable")[:, :top]
+                    far = np.take_along_axis(angle, near, axis=1)
+                    close = far <= np.maximum(far[:, :1] + margin, far[:, 1:2])
+                    row, rank = np.nonzero(close)
+                    col = near[row, rank]
                 new = _mixed(shard, names[col])
                 at = pa.array(row)
                 yield _shard_rows(new, nodes.take(at), vectors.take(at), home[row] & (nearest[row] == col))
@@ -409,6 +416,62 @@ def _audit(leaders: DataFrame, pairs: DataFrame, reach: float, most: int) -> flo
     return true.join(pairs, ["a", "b"], "left_semi").count() / total if total else 1.0
 
 
+def link_recall(nodes: DataFrame, links: DataFrame, least: float, most: int) -> float:
+    """The share of the links of some nodes that were found, copies of other nodes counted; 1 if there are none.
+
+    About ``most`` nodes are taken by hash and compared with all nodes; if they have few links, eight times as many, up to
+    a fixed number.
+    """
+    n = nodes.count()
+    while True:
+        chosen = nodes.filter(F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(max(1, n // most))) == 0).select("node", "group", "vector").limit(2 * most).collect()
+        groups, ids = np.array([r["group"] for r in chosen]), np.array([r["node"] for r in chosen])
+        x = [np.array(r["vector"], dtype=np.float64) for r in chosen]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (group,), rows in _grouped(batches, 1):
+                own = np.flatnonzero(groups == group)
+                if not len(own):
+                    continue
+                q = _unit([x[k] for k in own])
+                for batch in rows:
+                    other, m = np.array(batch.column(1).to_pylist()), np.array(batch.column(3).to_pylist(), dtype=np.int64)
+                    near = (q @ _column(batch.column(2)).T >= least) & (ids[own][:, None] != other[None, :])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(near @ m)], ["node", "true"])
+
+        true = nodes.select("group", "node", "vector", "m").mapInArrow(lean(run), "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
+        seen = true.join(links, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first() if chosen else (0, 0)
+        if (seen[0] or 0) >= SEEN_LINKS or most >= min(n, MOST_SAMPLED):
+            return seen[1] / seen[0] if seen[0] else 1.0
+        most = min(8 * most, MOST_SAMPLED)
+
+
+def _all_pairs(leaders: DataFrame, reach: float, block: int) -> DataFrame:
+    """Pairs (a, b), a < b, of leaders of a label in range, by comparing each two blocks of them: exact, and quadratic."""
+    sizes = leaders.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = leaders.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "vector", (F.col("own") > F.col("other")).alias("right"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, low, high), group in _grouped(batches, 3):
+            parts = list(group)
+            ids = np.array([v for b in parts for v in b.column(3).to_pylist()])
+            x = np.vstack([_column(b.column(4)) for b in parts])
+            side = np.array([v for b in parts for v in b.column(5).to_pylist()], dtype=bool)
+            left, right = np.flatnonzero(~side), np.flatnonzero(side)
+            if low == high:
+                right = left
+            for start in range(0, len(left), 256):
+                some = left[start : start + 256]
+                i, j = np.nonzero(x[some] @ x[right].T >= reach)
+                a, b = ids[some][i], ids[right][j]
+                keep = a < b if low == high else a != b
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
+
+    return rows.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high").mapInArrow(lean(run), "a long, b long")
+
+
 def vector_dedup(
     embeddings: DataFrame,
     id_col: str = "vec_id",
@@ -419,6 +482,7 @@ def vector_dedup(
     beam: int = 24,
     audit: int = 64,
     least_recall: float = 0.97,
+    least_links: float = 0.95,
     block: int = BALL_BLOCK,
 ) -> DataFrame:
     """One row per row of ``embeddings``: id, n_links, component_id, kept."""
@@ -452,8 +516,14 @@ def vector_dedup(
             break
     members = nodes.select("node", "vector", "m").join(balls, "node")
     many = balls.groupBy("leader").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("leader").alias("a"), F.col("leader").alias("b"))
-    found = cut(_verify(pairs.unionByName(many), members, least, block), "vector-links")
-    links = found.filter("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = cut(_verify(pairs.unionByName(many), members, least, block), "vector-links")
+        return found, found.filter("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+
+    found, links = verified(pairs)
+    if link_recall(nodes, links, least, audit) < least_links:
+        found, links = verified(cut(_all_pairs(leaders, reach, block), "all-balls"))
     classes = components(found.filter("links is null"), "a", "b")
     named = nodes.join(links, "node", "left").join(classes, "node", "left")
     named = named.select("label", "vector", "m", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))

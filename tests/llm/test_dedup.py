@@ -167,3 +167,37 @@ def test_vector_dedup(spark):
     found = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got if r["vec_id"] < 1000)
     assert sum(a != b for a, b in zip(found, want)) <= 0.02 * len(want)  # an approximate index, audited
     assert all((r["n_links"], r["component_id"], r["kept"]) == (0, r["vec_id"], True) for r in got if r["vec_id"] >= 1000)
+
+
+def test_vector_dedup_of_wide_vectors(spark):
+    """768 dimensions, several shards, clashing columns, ties and repeated rows; brute force in double precision."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 768))
+    x = np.vstack([base, base[:120] + rng.normal(size=(120, 768)) * 0.06, base[:20], base[:1] + rng.normal(size=(30, 768)) * 0.05])
+    rows = [(k, x[k].tolist(), 1, "n", 5) for k in range(len(x))]
+    schema = "vec_id long, embedding array<double>, label int, node string, links int"
+    got = {r["vec_id"]: r for r in vector_dedup(spark.createDataFrame(rows, schema), shard=32, block=16).collect()}
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = n @ n.T >= 0.98
+    np.fill_diagonal(near, False)
+    roots = groups(len(x), [(a, b) for a, b in zip(*np.nonzero(near))])
+    found = sum(min(got[k]["n_links"], int(near[k].sum())) for k in range(len(x)))
+    assert near.sum() > 300 and found >= 0.95 * near.sum() and all(got[k]["n_links"] <= near[k].sum() for k in range(len(x)))
+    assert sum(got[k]["component_id"] != roots[k] for k in range(len(x))) <= 0.02 * len(x)
+    assert vector_dedup(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_all_pairs_and_link_recall(spark):
+    from sieve.llm.vector_dedup import _all_pairs, link_recall
+
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(30, 8)), 2, axis=0) + rng.normal(size=(60, 8)) * 0.05
+    rows = spark.createDataFrame([(k % 2 // 2, k, x[k].tolist(), 1) for k in range(60)], "group long, node long, vector array<double>, m long")
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = n @ n.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = {(a, b) for a, b in zip(*np.nonzero(near)) if a < b}
+    got = [tuple(r) for r in _all_pairs(rows, 0.9, 7).collect()]
+    assert len(got) == len(want) and set(got) == want
+    links = spark.createDataFrame([(k, int(near[k].sum())) for k in range(60) if near[k].any()], "node long, links long")
+    assert link_recall(rows, links, 0.9, 4) == 1.0 and link_recall(rows, links.limit(0), 0.9, 4) == 0.0
