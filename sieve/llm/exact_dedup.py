@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from sieve.llm.common import cut, text_of
 
 BUCKET_BITS, RANK_BITS = 20, 43
+HOT_GROUPS = 50_000
 
 
 def _names(distinct: DataFrame, hashed: Column, order: list[str]) -> DataFrame:
@@ -104,8 +105,13 @@ def exact_dedup(
         name = name.alias("l").join(copies.alias("r"), same, "left").select(
             "l.__id", "l.__sha", "__identity", F.coalesce("__copies", "__rows").alias("__rows")
         )
-    groups = name.groupBy("__identity").agg(F.max("__id").alias("__keep"), F.sum("__rows").alias("__size"))
-    out = name.join(groups, "__identity").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__rows").cast("int"))))
+    name = cut(name, "identities")
+    groups = cut(name.groupBy("__identity").agg(F.max("__id").alias("__keep"), F.sum("__rows").alias("__size")), "identity-groups")
+    # Rows of the largest groups, of which there are at most HOT_GROUPS, find theirs without being dealt by it.
+    hot = F.col("__size") >= max(64, -(-(groups.agg(F.sum("__size")).first()[0] or 0) // HOT_GROUPS))
+    marked = name.join(F.broadcast(groups.filter(hot)), "__identity", "left")
+    other = marked.filter("__size is null").drop("__keep", "__size").join(groups.filter(~hot), "__identity")
+    out = marked.filter("__size is not null").unionByName(other).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__rows").cast("int"))))
     return out.select(
         F.col("__id").alias(id_col),
         F.col("__keep").alias("keep_id"),
