@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieve.llm.common import WORD, ship, text_of
+from sieve.llm.common import WORD, cut, ship, text_of
 
 
 def apportion(targets: np.ndarray, seats: int) -> np.ndarray:
@@ -124,6 +124,7 @@ def mix_sources(
         F.col(source_col).cast("string").alias("__source"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("__size"),
     )
+    base = cut(base, "mix-sizes")  # words are counted once; all below reads sizes
     sources = base.groupBy("__source").agg(F.sum("__size").alias("__source_size"))
     sources = sources.groupBy().applyInPandas(  # one row a source
         _source_quotas(weights, cap, block), "__source string, __source_size long, __target double, __seats long"
