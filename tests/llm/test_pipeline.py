@@ -66,3 +66,17 @@ def test_null_columns(spark):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (2, "a few words", None, None, None)], spark.read.parquet(f"{SF}/documents.parquet").schema)
     for _, stage in C.STAGES:
         stage(spark, docs, SF).collect()
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """Columns named like helpers, and a text of 2 MB, pass through; results are those without the columns."""
+    plain = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    long = spark.createDataFrame([(10**9, "a long text about rivers and towns. " * 60_000, "en", "src0", 2_160_000)], plain.schema)
+    docs = plain.unionByName(long)
+    extra = docs.selectExpr("*", "1 AS __id", "'x' AS __sha", "2 AS __source", "3 AS __size", "4 AS __copies", "5 AS __copy", "6 AS ids", "7 AS component_id", "8 AS kept")
+    key = lambda rows: sorted((r["doc_id"], r["source"] or "") for r in rows.select("doc_id", "source").collect())
+    for name, stage in C.STAGES:
+        out = stage(spark, extra, SF)
+        assert key(out) == key(stage(spark, docs, SF)), name
+        if stage is not C.STAGES[-1][1]:
+            assert out.columns == extra.columns
