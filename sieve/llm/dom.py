@@ -62,7 +62,7 @@ def read_page(html: str) -> Page:
     """Parents come before children in ``nodes``; node 0 is the page."""
     page = Page([Node("#page", -1, "")])
     nodes, stack = page.nodes, [0]
-    open_tags: dict[str, int] = {}
+    open_at: dict[str, list[int]] = {}  # by tag, the depths of its open elements
     unclosed: set[str] = set()  # hidden elements that no closing tag follows
     text: list[str] = []
     in_link = False
@@ -87,8 +87,10 @@ def read_page(html: str) -> Page:
             text.clear()
 
     def pop() -> None:
-        node = nodes[stack.pop()]
-        open_tags[node.tag] -= 1
+        open_at[nodes[stack.pop()].tag].pop()
+
+    def deepest(tags: set[str]) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
     while at < n:
         m = START.search(html, at)
@@ -134,24 +136,22 @@ def read_page(html: str) -> Page:
         flush()
         in_link = False
         if closing:
-            if open_tags.get(tag, 0):
-                while nodes[stack[-1]].tag != tag:
+            if open_at.get(tag):
+                depth = open_at[tag][-1]
+                while len(stack) > depth:
                     pop()
-                pop()
             continue
         if nodes[stack[-1]].tag == "p":
             pop()
         if tag in CLOSES:
             closed, within = CLOSES[tag]
-            depth = len(stack) - 1
-            while depth > 0 and len(stack) - depth < 12 and nodes[stack[depth]].tag not in closed and nodes[stack[depth]].tag not in within:
-                depth -= 1
-            if depth > 0 and nodes[stack[depth]].tag in closed:
+            depth = deepest(closed)
+            if depth > deepest(within):
                 while len(stack) > depth:
                     pop()
         nodes.append(Node(tag, stack[-1], attributes))
         stack.append(len(nodes) - 1)
-        open_tags[tag] = open_tags.get(tag, 0) + 1
+        open_at.setdefault(tag, []).append(len(stack) - 1)
         if attributes.endswith("/") and tag not in ("p", "div", "li"):
             pop()
     flush()
