@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import cached_property
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from sieve.llm.common import lean, ship, text_of
 
 WINDOW, LEAST, MOST, MASK_BITS = 32, 256, 8192, 11
+ENTRY = 500  # bytes of a cache entry besides its text and ids
 _gear = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 # Bytes after which a space or line end is a safe place to cut: visible ASCII.
 _visible = np.zeros(256, dtype=bool)
@@ -68,6 +70,7 @@ class Codec:
             and pre.get("use_regex", True)
             and spec.get("normalizer") is None
             and all(c in alphabet for t in plain for c in t)
+            and not any(c.isspace() for t in special for c in t)  # one that holds a space could be cut at a safe place
         )
         self.fast, self.bytes_of = None, None
         if self.byte_level:
@@ -101,11 +104,14 @@ class Codec:
 
     def plain(self, text: str) -> list[int]:
         """The ids of a text, without reuse."""
-        if self.fast is not None and len(text) < 1 << 20:
-            return self.fast.encode(text, allowed_special="all", disallowed_special=())
+        if self.fast is not None:
+            try:
+                return self.fast.encode(text, allowed_special="all", disallowed_special=())
+            except ValueError:  # its matcher runs out of room, as in a very long run of white space
+                pass
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _chunk(self, raw: bytes) -> tuple[list[int], int, int, int, int]:
+    def _chunk(self, raw: bytes) -> tuple[array, int, int, int, int]:
         """ids; the first and last safe places in bytes (-1: none) and their places among the ids."""
         if (found := self.cache.get(raw)) is not None:
             self.cache.move_to_end(raw)
@@ -121,12 +127,12 @@ class Codec:
             at_first, at_last = (int(np.searchsorted(ends, x)) for x in (first, last))
             if ends[at_first] != first or ends[at_last] != last:  # not a token boundary: the window goes on
                 first = last = -1
-        found = (ids, first, last, at_first, at_last)
+        found = (array("i", ids), first, last, at_first, at_last)
         self.cache[raw] = found
-        self.cached += len(raw) + 40 * len(ids) + 200
+        self.cached += len(raw) + 4 * len(ids) + ENTRY
         while self.cached > self.cache_bytes and len(self.cache) > 1:
             old, (old_ids, *_) = self.cache.popitem(last=False)
-            self.cached -= len(old) + 40 * len(old_ids) + 200
+            self.cached -= len(old) + 4 * len(old_ids) + ENTRY
         return found
 
     def encode(self, text: str) -> list[int]:

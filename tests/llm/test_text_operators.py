@@ -171,6 +171,11 @@ def test_long_tags_and_unclosed_elements():
     for tag in "script style template textarea title iframe".split():
         assert segments(f"<div>one<{tag}></div><p>two") == long[:1]
     assert segments("<div>one<a href='x") == long[:1]
+    for tag, around in (("li", "ul"), ("dd", "dl"), ("td", "table")):
+        page = dom.read_page(f"<{around}><{tag}>" + "<div>" * 40 + f"x<{tag}>y</{around}>")
+        assert [n.parent for n in page.nodes if n.tag == tag] == [1, 1]
+    deep = dom.read_page("<ul><li>" * 50 + "x" + "</ul>" * 49 + "<li>y")
+    assert [n.tag for n in deep.nodes].count("li") == 51 and deep.nodes[-1].parent == 1
     assert segments("<div><a href='x>one</a></div><p>two") == long[:2]
 
 
@@ -273,6 +278,28 @@ def test_bpe_agrees_with_the_library(monkeypatch):
     assert c.hits and c.cached <= (1 << 16) + 1000
 
 
+@pytest.mark.parametrize("unit", [" ", "a", "\n \t", "é中!", "a "])
+def test_bpe_of_very_long_texts(unit):
+    c = bpe.Codec(tokenizer_path())
+    for length in (300_000, (1 << 20) - 1, (1 << 20) + 1):
+        text = "b" + (unit * length)[:length] + "<|endoftext|>c"
+        ids = c.library.encode(text, add_special_tokens=False).ids
+        assert c.plain(text) == ids and c.encode(text) == ids
+        assert c.decode(ids) == text
+
+
+def test_bpe_special_token_with_a_space_is_not_cut(tmp_path):
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 60_000, "content": "<a b>"})
+    path = tmp_path / "spaced.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    c, text = bpe.Codec(str(path)), "word <a b> " * 3000
+    assert c.encode(text) == c.library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_columns(spark):
     path = tokenizer_path()
     long = "word " * 60_000 + "x" * 60_000
