@@ -612,6 +612,7 @@ def _links(base: DataFrame, named: DataFrame, members: DataFrame, width: int, pe
     # By whole names: sets whose short names clash go everywhere together.
     owners = cut(owners.groupBy("__short", "sid").agg(F.min(F.struct(F.col("id").isNull(), "id")).alias("__row"), F.max("n").alias("n")), "cell-owners")
     sizes = owners.groupBy(F.col("__short").alias("sid")).agg(F.sum("n").alias("n"), F.count("*").alias("sets"))
+    members = cut(members.join(sizes, "sid"), "sized-members")  # sizes stay with the members from here on
 
     def named_rows(rows_of: DataFrame, own: DataFrame) -> DataFrame:
         wanted = own.select(F.col("__row.id").alias("__wanted")).distinct()
@@ -628,12 +629,12 @@ def _links(base: DataFrame, named: DataFrame, members: DataFrame, width: int, pe
         return texts.mapInArrow(_packed(width, exact), "short long, sid binary, set binary")
 
     def dealt(cells: DataFrame, weight: float) -> DataFrame:
-        """Cells (hub, sid, …) as blocks, each with the hub; ``weight`` is bytes for a shingle."""
-        counted = cells.join(sizes, "sid").groupBy("hub").agg(
+        """Cells (hub, sid, n, sets, …) as blocks, each with the hub; ``weight`` is bytes for a shingle."""
+        counted = cells.groupBy("hub").agg(
             F.greatest(F.ceil(F.sum("sets") / block), F.ceil(F.sum("n") * weight / BLOCK_BYTES)).cast("long").alias("blocks")
         )
         own = F.when(F.col("sid") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-        return cells.join(counted, "hub").withColumn("block", F.explode(own.otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("blocks"))))))
+        return cells.drop("n", "sets").join(counted, "hub").withColumn("block", F.explode(own.otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("blocks"))))))
 
     def grouped(groups: DataFrame, weight: float) -> DataFrame:
         """(sid, group) -> (sid, group, fits): whether the group is one block. Large groups are few rows and found by an aggregate."""
@@ -676,7 +677,7 @@ def _links(base: DataFrame, named: DataFrame, members: DataFrame, width: int, pe
     none = F.lit(None).cast("long").alias("class")
     groups = cut(components(members, "sid", "hub").withColumnsRenamed({"node": "sid", "component": "group"}), "cell-groups")
     groups = grouped(groups, SIGNATURE_BYTES)
-    large = members.join(groups.filter(~F.col("fits")).select("sid"), "sid", "left_semi").select("sid", "hub", none)
+    large = members.join(groups.filter(~F.col("fits")).select("sid"), "sid", "left_semi").select("sid", "hub", "n", "sets", none)
     placed = cut(one_cell(groups).unionByName(dealt(large, SIGNATURE_BYTES)), "cell-members")
     meetings = searched(placed, source(None, False), False)
     # Sets that may link form groups again; only these sets move, and in a group of one block each moves once.
@@ -689,17 +690,18 @@ def _links(base: DataFrame, named: DataFrame, members: DataFrame, width: int, pe
         return links
     # In larger groups, a set first meets the hub that most sets share with it; where its other hubs have sets that
     # aren't connected with it by then, those cells are searched, too.
-    cells = members.join(large, "sid")
+    cells = cut(members.join(large, "sid"), "large-members")
     head = cells.groupBy("group", "hub").agg(F.min(F.struct(F.col("sid") != F.col("hub"), "sid"))["sid"].alias("head"), F.count("*").alias("met"))
-    cells = cut(cells.join(head, ["group", "hub"]).select("sid", F.col("head").alias("hub"), "met").groupBy("sid", "hub").agg(F.max("met").alias("met")), "large-cells")
+    cells = cells.join(head, ["group", "hub"]).select("sid", F.col("head").alias("hub"), "met", "n", "sets")
+    cells = cut(cells.groupBy("sid", "hub", "n", "sets").agg(F.max("met").alias("met")), "large-cells")
     first = cells.groupBy("sid").agg(F.max(F.struct("met", "hub"))["hub"].alias("hub"))
     first = first.unionByName(first.select(F.col("hub").alias("sid"), "hub")).distinct()
     values = source(large, True)
-    near = searched(cut(dealt(first.select("sid", "hub", none), 8), "cell-members"), values, True, strays=False)
+    near = searched(cut(dealt(first.join(sizes, "sid").select("sid", "hub", "n", "sets", none), 8), "cell-members"), values, True, strays=False)
     classes = components(near.select(_short_column("a").alias("a"), _short_column("b").alias("b")), "a", "b").withColumnsRenamed({"node": "sid", "component": "class"})
-    cells = cells.select("sid", "hub").join(classes, "sid", "left").join(sizes.select("sid", "sets"), "sid")
+    cells = cells.drop("met").join(classes, "sid", "left")
     # A short name that two sets share stands for neither.
-    cells = cut(cells.select("sid", "hub", F.when(F.col("sets") == 1, F.coalesce("class", "sid")).alias("class")), "large-classes")
+    cells = cut(cells.select("sid", "hub", "n", "sets", F.when(F.col("sets") == 1, F.coalesce("class", "sid")).alias("class")), "large-classes")
     mixed = cells.groupBy("hub").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count_if(F.col("class").isNull()).alias("unsure"))
     mixed = mixed.filter("low <> high OR unsure > 0").select("hub")
     left = cells.join(mixed, "hub", "left_semi")
