@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import HashingTF, NGram, Normalizer
 from pyspark.sql import functions as F
 
+from sieve.functions import text as X
 from sieve.operators import experts, features, split
 from sieve.queries import models, scored, text
 
@@ -47,3 +50,17 @@ def test_byte_windows_return_few_at_a_time(spark):
     assert {len(w) for w in got.values()} == {4096} and got[0][:3] == [1, 256, 0] and not any(got[1]) and not any(got[2])
     assert got[3][3070:3074] == [255, 256, 1, 2] and got[3][-1] == 256
     assert spark.range(3000).select(F.size(features.byte_window(F.lit(b"x"))).alias("n")).groupBy("n").count().collect() == [(4096, 3000)]
+
+
+def test_hashed_vectors_have_the_places_of_spark(spark):
+    texts = ["", "a", "ab", " \t ", "one two  one two three@x.y", "\u00c4rger \u0451\u043b\u043a\u0430 \U0001f600\U0001f600 x \u4e2d\u6587\u5b57 \u0130stanbul"]
+    rows = spark.createDataFrame([(k, t, float(k)) for k, t in enumerate(texts)], "k int, t string, v double")
+    made = features.hashed_vectors(rows, "t", numeric=["v"])
+    assert len(made.schema["features"].json()) < 1000  # a list of all attributes would travel with each task
+    old = rows.withColumns({"w": X.tokens(F.col("t"), X.TOKEN_PATTERNS["words2"]), "c": features.char_wb_ngrams(F.col("t"))})
+    old = NGram(n=2, inputCol="w", outputCol="b").transform(old).withColumn("wb", F.concat("w", "b"))
+    for c, size in (("wb", 1 << 18), ("c", 1 << 17)):
+        old = Normalizer(inputCol=c + "r", outputCol=c + "f").transform(HashingTF(numFeatures=size, inputCol=c, outputCol=c + "r").transform(old))
+    want = {r["k"]: np.concatenate([r["wbf"].toArray(), r["cf"].toArray(), [r["v"]]]) for r in old.collect()}
+    got = {r["k"]: r["features"].toArray() for r in made.collect()}
+    assert want.keys() == got.keys() and all(np.allclose(want[k], got[k], rtol=1e-14, atol=0) for k in want)
