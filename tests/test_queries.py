@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF, NGram, Normalizer
+from pyspark.ml.feature import HashingTF, NGram, Normalizer, VectorAssembler
 from pyspark.sql import functions as F
 
 from sieve.functions import text as X
@@ -64,3 +64,13 @@ def test_hashed_vectors_have_the_places_of_spark(spark):
     want = {r["k"]: np.concatenate([r["wbf"].toArray(), r["cf"].toArray(), [r["v"]]]) for r in old.collect()}
     got = {r["k"]: r["features"].toArray() for r in made.collect()}
     assert want.keys() == got.keys() and all(np.allclose(want[k], got[k], rtol=1e-14, atol=0) for k in want)
+
+
+def test_folds_are_fitted_side_by_side(spark):
+    from threading import Barrier
+
+    both, fit = Barrier(2, timeout=60), experts.logistic()
+    rows = spark.range(40).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 4 > 1).cast("int").alias("fold"))
+    rows = VectorAssembler(inputCols=["y"], outputCol="features").transform(rows)
+    out = experts.cross_fit(rows, lambda train: both.wait() is not None and fit(train), 2)
+    assert out.filter("(p >= 0.5) = (y = 1)").count() == 40
