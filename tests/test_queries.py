@@ -74,3 +74,13 @@ def test_folds_are_fitted_side_by_side(spark):
     rows = VectorAssembler(inputCols=["y"], outputCol="features").transform(rows)
     out = experts.cross_fit(rows, lambda train: both.wait() is not None and fit(train), 2)
     assert out.filter("(p >= 0.5) = (y = 1)").count() == 40
+
+
+def test_folds_are_dealt_without_texts(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, k % 2, f"some words {k}", "s") for k in range(20)], "doc_id long, y int, text string, source string")
+    monkeypatch.setattr(models, "messages", lambda *_: rows)
+    seen, deal = [], split.stratified_folds
+    monkeypatch.setattr(split, "stratified_folds", lambda rows, *given: seen.append(rows.columns) or deal(rows, *given))
+    got = {r["msg_id"]: r["fold"] for r in models._rows(spark, "").select("msg_id", "fold").collect()}
+    assert seen == [["msg_id", "y"]]
+    assert got == dict(deal(rows.withColumnRenamed("doc_id", "msg_id"), "msg_id", 5, 7).select("msg_id", "fold").collect())
